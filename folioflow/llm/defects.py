@@ -22,7 +22,7 @@ from folioflow.runtime import cut
 LABELS = ("question", "answer", "response", "reply", "output", "q", "a", "frage", "antwort", "pregunta", "respuesta", "réponse", "reponse", "问题", "问", "答案", "回答", "答")
 NOTHING = {"n/a", "na", "n.a.", "null", "none", "nil", "nan", "nothing", "empty", "tbd", "todo", "undefined", "unknown", "no answer", "无", "空", "暂无", "没有", "keine", "keine antwort", "aucune", "aucun", "rien", "ninguna", "ninguno", "nada", "sin respuesta", "sans réponse", "无答案", "未知"}
 FUNCTION_WORDS = {
-    "en": "the a an of and to is are was were be been for with by on in at from that this these it its we our they as not no than when while after before because although whether each both which what how why who between during over under into only more most has have does do did can cannot i".split(),
+    "en": "the a an of and to is are was were be been for with by on in at from that this these it its we our they as not no than when while after before because although whether each both which what how why who between during over under into only more most has have does do did can cannot i summarize describe explain name".split(),
     "de": "der die das den dem des ein eine einen einem einer und oder ist sind war wird werden mit von vom zu zum zur bei auf aus für nicht kein keine wir ihr sich als auch nach vor über unter durch ohne um im am während obwohl weil dass welche welcher welches wie warum was bleibt sinkt braucht nutzt".split(),
     "fr": "le la les un une des du de et ou est sont était avec pour par sur dans en au aux ce cette ces nous vous ils que qui quoi ne pas sans après avant quelle quel pourquoi comment tandis ainsi dont se son sa ses leur tombe repose à".split(),
     "es": "el la los las un una unos unas y o es son era con para por sobre en del al de que no sin nosotros se su sus lo como mientras cuando porque qué cuál cómo cuánto este esta estos muy más mucho poco tras usa".split(),
@@ -69,15 +69,15 @@ def copies_question(question: str, answer: str) -> bool:
     return False
 
 
-def language(text: str) -> str | None:
-    """Language of a whole sentence; None where too little tells."""
+def language(text: str, least: int = 2) -> str | None:
+    """Language of a whole sentence by its function words, of which ``least`` must be there; None where too little tells."""
     cjk = len(CJK.findall(text))
     found = [w.lower() for w in _WORD.findall(CJK.sub(" ", text))]
     if cjk >= 6 and cjk > 2 * sum(w in ALL_FUNCTION_WORDS for w in found):
         return "zh"
     score = {k: sum(w in v for w in found) for k, v in _SETS.items()}
     order = sorted(score, key=lambda k: -score[k])
-    if score[order[0]] >= 2 and score[order[0]] > score[order[1]]:
+    if score[order[0]] >= least and score[order[0]] > score[order[1]]:
         return order[0]
     return None
 
@@ -144,7 +144,7 @@ def defect(question: str | None, answer: str | None, shortened: bool = False, at
         return "refusal"
     if breaks_off(answer) or (shortened or at_limit) and answer.rstrip()[-1:] not in ".!?。！？…)\"”" and len(_WORD.findall(answer)) > 3:
         return "truncated"
-    asked, given = language(question or ""), language(answer)
+    asked, given = language(question or "", 1), language(answer)
     if asked and given and asked != given and (len(_WORD.findall(answer)) >= 5 or given == "zh"):
         return "other_language"
     return None
