@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from folioflow.runtime import bounded_rows
+from folioflow.runtime import bounded_rows, cut
 
 #: Disclosure threshold in bits, least number of identity contexts a term must be seen in, and largest lexicon sent out.
 MIN_BITS, MIN_SUPPORT, MAX_TERMS = 2.0, 3, 200_000
@@ -29,7 +30,8 @@ CUES = (
 )
 PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|el|ter|ten|zu|y|[A-ZÀ-ÞĀ-Ž]\.)"
 CAPITALISED = r"[A-ZÀ-ÖØ-ÞĀ-Ž](?:[a-zß-öø-ÿā-ž]+|[A-ZÀ-ÖØ-ÞĀ-Ž]+)(?:['’-][A-ZÀ-ÖØ-ÞĀ-Ž][A-Za-zÀ-ÖØ-öø-ÿĀ-ž]*)*"
-PERSON = rf"{CAPITALISED}(?: {PARTICLE})* {CAPITALISED}(?![\w-])"
+CUE_WORDS = rf"(?:{TITLES}|Contact|Contacto|Kontakt|Name|Participant|Annotator|Reviewer|Joindre|Agradecemos|Parcel|Signed|Attention|Please)"
+PERSON = rf"(?!{CUE_WORDS}[ .:]){CAPITALISED}(?: {PARTICLE})* {CAPITALISED}(?![\w-])"
 NEVER = {"The", "This", "That", "These", "Those", "A", "An", "In", "On", "At", "By", "For", "With", "We", "Our", "It", "Most", "Each", "Both", "No", "When", "While", "After", "Before", "Between", "Unlike", "Table", "Figure", "Section", "Nous", "Les", "Le", "La", "Los", "El", "Las", "Die", "Der", "Das", "Wir", "Sans", "Sin", "Ohne", "Monte", "Markov"}
 
 # --- structured identifiers -------------------------------------------------------------------------------------------
@@ -60,15 +62,12 @@ ADDRESS = re.compile(
 )
 ADDRESS_ZH = re.compile(r"(?:(?<=[：:，,。；;\s])|^)[㐀-鿿]{1,8}?(?:大道|街道|大街|街|路|巷|弄|胡同)\d+(?:号|號)")
 NAME_ZH = re.compile(r"(?:联系人|姓名|负责人|作者|经办人|收件人|申请人|患者|受访者)[：:]\s?([㐀-鿿]{2,4})(?![㐀-鿿])|(?:感谢|致谢)([㐀-鿿]{2,4}?)(?=老师|先生|女士|教授|博士|同学)")
-_CUED, _PERSON = re.compile(rf"{CUES}({PERSON})"), re.compile(rf"(?<![\w.@'’-]){PERSON}")
-_BESIDE = re.compile(r"[\s,(<\[]{0,3}$")
+_CUE_END, _PERSON = re.compile(rf"{CUES}$"), re.compile(PERSON)
 _FOLLOW = re.compile(r"\s*,?\s*(?:and|und|et|y|&|,)\s+(?:(?:" + TITLES + r")\.? )?$")
 
-#: Capitalised pairs as the JVM counts them; the first group is the opening term.
-PAIR_JVM = rf"(?<![\w.@'’-])({CAPITALISED})(?: {PARTICLE})* {CAPITALISED}(?![\w-])"
-CUED_JVM = rf"{CUES}({CAPITALISED})(?: {PARTICLE})* {CAPITALISED}(?![\w-])"
-_SECOND_JVM = rf"(?<![\w.@'’-]){CAPITALISED}(?: {PARTICLE})* ({CAPITALISED})(?![\w-])"
-_CUED_SECOND_JVM = rf"{CUES}{CAPITALISED}(?: {PARTICLE})* ({CAPITALISED})(?![\w-])"
+#: Capitalised pairs as the JVM counts them: all, and those right after a cue (looked for behind a capital only).
+_PAIR_JVM = rf"(?<![\w.@'’-]){PERSON}"
+_CUED_JVM = rf"(?=[A-ZÀ-ÞĀ-Ž])(?<={CUES}){PERSON}"
 
 
 def opening(term: str) -> str:
@@ -76,30 +75,27 @@ def opening(term: str) -> str:
     return re.split(r"[-'’]", term)[0].lower()
 
 
-def _terms(pattern: str, place: str, cued: int):
-    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda t: F.struct(F.lit(place).alias("place"), F.lower(F.regexp_extract(t, r"^[^-'’]+", 0)).alias("term"), F.lit(cued).alias("cued")))
+def _terms(pattern: str, cued: int):
+    pairs = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    first = F.transform(pairs, lambda t: F.struct(F.lit("opening").alias("place"), F.lower(F.regexp_extract(t, r"^[^-'’ ]+", 0)).alias("term"), F.lit(cued).alias("cued")))
+    last = F.transform(pairs, lambda t: F.struct(F.lit("closing").alias("place"), F.lower(F.regexp_extract(F.substring_index(t, " ", -1), r"^[^-'’]+", 0)).alias("term"), F.lit(cued).alias("cued")))
+    return [first, last]
 
 
 def disclosure(documents: DataFrame) -> DataFrame:
     """(place, term, seen, cued, bits): PMI in bits between a term at one place of a capitalised pair and identity contexts.
 
-    ``place`` is 'opening' or 'closing'. Counted over all documents with map-side aggregation; no text is shuffled.
+    ``place`` is 'opening' or 'closing'. Counted over all documents in one scan with map-side aggregation; no text is
+    shuffled, and the counts are written once, as two results are drawn from them.
     """
-    # one scan: each document yields the openings and closings of all its pairs, and again of the pairs that follow a cue
-    places = ((PAIR_JVM, "opening", 0), (CUED_JVM, "opening", 1), (_SECOND_JVM, "closing", 0), (_CUED_SECOND_JVM, "closing", 1))
-    tagged = F.flatten(F.array(*(_terms(*p) for p in places)))
+    tagged = F.flatten(F.array(*_terms(_PAIR_JVM, 0), *_terms(_CUED_JVM, 1)))
     counts = documents.select(F.explode(tagged).alias("x")).groupBy("x.place", "x.term").agg(F.sum(1 - F.col("x.cued")).alias("seen"), F.sum("x.cued").alias("cued"))
-    counts = counts.withColumn("seen", F.greatest("seen", "cued"))
+    counts = cut(counts.withColumn("seen", F.greatest("seen", "cued")))
     totals = counts.where("place = 'opening'").agg(F.sum("seen").alias("all_seen"), F.sum("cued").alias("all_cued"))
     bits = F.log2((F.col("cued") / F.col("seen")) / (F.col("all_cued") / F.col("all_seen")))
     return counts.join(F.broadcast(totals)).select("place", "term", "seen", "cued", F.when(F.col("cued") > 0, bits).alias("bits"))
 
 
-class Lexicon:
-    def __init__(self, names: set[str], common: set[str]):
-        self.names, self.common = names, common
-
-
 def lexicon(documents: DataFrame, *, min_bits: float = MIN_BITS, min_support: int = MIN_SUPPORT, max_terms: int = MAX_TERMS) -> tuple[frozenset, frozenset]:
     """Given names (openings that reveal a person), and closings that do not belong to names (common in pairs, rarely cued)."""
     scored = disclosure(documents)
@@ -109,55 +105,107 @@ def lexicon(documents: DataFrame, *, min_bits: float = MIN_BITS, min_support: in
     return frozenset(r["term"] for r in rows if r["place"] == "opening"), frozenset(r["term"] for r in rows if r["place"] == "closing")
 
 
-def _is_person(text: str, names: frozenset, common: frozenset, cued: bool) -> bool:
-    first, last = text.split(" ")[0], text.split(" ")[-1]
-    if first in NEVER or last in NEVER or last.lower() in common:
-        return False
-    return cued or opening(first) in names
+# What a text must hold before the recognisers of a kind are worth running; one automaton looks for all of it at once.
+_EMAIL, _ADDRESS, _CUE = 1, 2, 4
+_SIGNS = {
+    _EMAIL: ("@", "dot", "DOT", " AT ", "(at)", "[at]"),
+    _ADDRESS: (
+        *(f" {x}" for x in "Street St Avenue Ave Road Rd Lane Ln Boulevard Blvd Drive Dr Court Ct Place Pl Square Sq Terrace Way Row Close Crescent Highway Hwy Parkway Pkwy Alley Walk Quay".split()),
+        *(f" {x} " for x in "rue avenue boulevard place chemin impasse allée quai route cours square".split()),
+        *(f"{x} {n}" for x in "straße strasse str. allee gasse weg platz ring ufer damm steig Straße Allee Gasse Weg Platz Ring".split() for n in range(10)),
+        "C/", "Calle ", "Avenida ", "Avda", "Av.", "Paseo ", "Plaza ", "Camino ", "Carrera ", "Ronda ", "Travesía ",
+        *(f"{x}{n}" for x in ("道", "街", "路", "巷", "弄", "胡同") for n in range(10)),
+    ),
+    _CUE: (
+        *(f"{x}{end}" for x in TITLES.replace("Herrn?", "Herr|Herrn").replace("Sra?", "Sr|Sra").replace("Dra?", "Dr|Dra").replace("Señora?", "Señor|Señora").split("|") for end in (". ", " ", ".")),
+        "ontact", "ontakt", "nsprechpartner", "ame is ", *(f"{x}{end}" for x in ("ame", "Signed", "Firmado", "Signé", "Gezeichnet", "Attention", "Author", "Interviewee", "Speaker", "Patient", "Employee") for end in (":", " :", "=", " =")),
+        "Signed by", "attn", "Maintainer", "Reprints", "Participant", "Annotator", "eviewer", "Parcel for", "e thank", "hanks to", "lease call", "lease contact", "lease ask", "orrespondence", "passport of", "license of", "badge of", "opens with", "au nom de", "remercions", "Joindre", "danken", "ausgestellt", "Agradecemos", "a nombre de", ", by ", "[",
+        "联系人", "姓名", "负责人", "作者：", "作者:", "经办人", "收件人", "申请人", "患者", "受访者", "感谢", "致谢",
+    ),
+}
+_DIGITS, _LETTERED = re.compile(r"[+(\d][\d ().\-/]{7,}"), re.compile(r"[A-Z]\d\d[\d ]\d{3}")
+
+
+class Finder:
+    """The recognisers with one lexicon: given names, and closings that do not belong to names."""
+
+    def __init__(self, names: frozenset = frozenset(), common: frozenset = frozenset()):
+        self.names, self.common = names, common
+        signs: dict[str, int] = {}
+        for bit, found in _SIGNS.items():
+            for x in found:
+                signs[x] = signs.get(x, 0) | bit
+        for name in names:
+            for x in (name.title(), name.upper(), name.capitalize()):
+                signs[x] = signs.get(x, 0) | _CUE
+        self.signs = ahocorasick.Automaton()
+        for x, bits in signs.items():
+            self.signs.add_word(x, bits)
+        self.signs.make_automaton()
+
+    def __call__(self, text: str) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of the personal data in ``text``, without overlaps, in order."""
+        signs = 0
+        for _, bits in self.signs.iter(text):
+            signs |= bits
+        numbers = _DIGITS.search(text) or _LETTERED.search(text)
+        if not signs and not numbers:
+            return []
+        spans: list[tuple[str, int, int]] = []
+
+        def add(kind: str, a: int, b: int) -> bool:
+            if any(a < y and x < b for _, x, y in spans):
+                return False
+            spans.append((kind, a, b))
+            return True
+
+        if signs & _EMAIL:
+            for m in EMAIL.finditer(text):
+                plain_at = "@" not in m[0] and re.search(r"\s(?:at|AT)\s", m[0])
+                if plain_at and " AT " not in m[0] and not re.search(r"(?i)[\[(]\s?dot\s?[\])]|\sdot\s", m[0]) and not re.search(r"[._+\d]", m[0].split(" ")[0]):
+                    continue
+                add("email", *m.span())
+        if numbers:
+            for m in ID_NUMBER.finditer(text):
+                if not NOT_PERSONAL.search(text, max(0, m.start() - 24), m.start()):
+                    add("id_number", *m.span())
+            for m in PHONE.finditer(text):
+                if 9 <= sum(c.isdigit() for c in m[0]) <= 15 and not NOT_PERSONAL.search(text, max(0, m.start() - 24), m.start()):
+                    add("phone", *m.span())
+        if signs & _ADDRESS:
+            for m in ADDRESS.finditer(text):
+                add("address", *m.span())
+            if not text.isascii():
+                for m in ADDRESS_ZH.finditer(text):
+                    add("address", *m.span())
+        if signs & _CUE or spans:
+            self._persons(text, spans, add)
+        return sorted(spans, key=lambda s: s[1])
+
+    def _persons(self, text: str, spans: list, add) -> None:
+        if not text.isascii():
+            for m in NAME_ZH.finditer(text):
+                add("name", *m.span(1 if m[1] else 2))
+        beside = {a for _, a, _ in spans}
+        last_end = at = -1
+        while m := _PERSON.search(text, at + 1):
+            a, b = m.span()
+            at = a
+            if a and (text[a - 1].isalnum() or text[a - 1] in "_.@'’-") and not (text[a - 1] == "." and _CUE_END.search(text, max(0, a - 24), a)):
+                continue
+            first, last = m[0].split(" ")[0], m[0].split(" ")[-1]
+            if first in NEVER or last in NEVER or last.lower() in self.common:
+                continue
+            # a cue before it, an identifier right after it, or another name joined by "and" or a comma is an identity context
+            revealed = opening(first) in self.names or _CUE_END.search(text, max(0, a - 48), a)
+            revealed = revealed or any(text[b : b + k].strip(" ,(<[") == "" and b + k in beside for k in range(1, 5))
+            revealed = revealed or 0 <= last_end <= a and _FOLLOW.fullmatch(text[last_end:a])
+            if revealed and add("name", a, b):
+                last_end, at = b, b - 1
 
 
 def find(text: str, names: frozenset = frozenset(), common: frozenset = frozenset()) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the personal data in ``text``, without overlaps, in order."""
-    spans: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
-
-    def add(kind: str, a: int, b: int) -> bool:
-        if any(a < y and x < b for x, y in taken):
-            return False
-        taken.append((a, b))
-        spans.append((kind, a, b))
-        return True
-
-    if "@" in text or "at" in text or "AT" in text:
-        for m in EMAIL.finditer(text):
-            local, _, _ = re.split(_AT, m[0], maxsplit=1)[0], None, None
-            plain_at = re.search(r"\s(?:at|AT)\s", m[0]) and "@" not in m[0]
-            if plain_at and not re.search(r"(?i)[\[(]\s?dot\s?[\])]|\sdot\s", m[0]) and " AT " not in m[0] and not re.search(r"[._+\d]", local):
-                continue
-            add("email", *m.span())
-    for m in ID_NUMBER.finditer(text):
-        if not NOT_PERSONAL.search(text, max(0, m.start() - 24), m.start()):
-            add("id_number", *m.span())
-    for m in PHONE.finditer(text):
-        digits = sum(c.isdigit() for c in m[0])
-        if 9 <= digits <= 15 and not NOT_PERSONAL.search(text, max(0, m.start() - 24), m.start()):
-            add("phone", *m.span())
-    for m in ADDRESS.finditer(text):
-        add("address", *m.span())
-    if not text.isascii():
-        for m in ADDRESS_ZH.finditer(text):
-            add("address", *m.span())
-        for m in NAME_ZH.finditer(text):
-            add("name", *m.span(1 if m[1] else 2))
-    beside = {a for _, a, _ in spans}
-    last_end = -1
-    for m in sorted([(*m.span(1), True) for m in _CUED.finditer(text)] + [(*m.span(), False) for m in _PERSON.finditer(text)]):
-        a, b, cued = m
-        # an identifier right after it, or a name joined by "and" or a comma before it, is an identity context too
-        near = cued or any(text[b : b + k].strip(" ,(<[") == "" and (b + k) in beside for k in range(1, 5)) or 0 <= last_end <= a and _FOLLOW.fullmatch(text[last_end:a]) is not None
-        if _is_person(text[a:b], names, common, near) and add("name", a, b):
-            last_end = b
-    return sorted(spans, key=lambda s: s[1])
+    return Finder(names, common)(text)
 
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -175,13 +223,13 @@ def _apply(documents: DataFrame, make, schema: str, columns: list[str], known: t
     sent = documents.sparkSession.sparkContext.broadcast(known if known is not None else lexicon(documents))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, common = sent.value
+        finder = Finder(*sent.value)
         for batch in batches:
             memo: dict[str, list] = {}
             out = []
             for id_, text in zip(batch["doc_id"], batch["text"]):
                 if text is not None and text not in memo:
-                    memo[text] = find(text, names, common)
+                    memo[text] = finder(text)
                 out += make(id_, text, memo.get(text, []))
             yield pd.DataFrame(out, columns=columns)
 
