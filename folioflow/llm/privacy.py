@@ -75,21 +75,20 @@ def opening(term: str) -> str:
     return re.split(r"[-'’]", term)[0].lower()
 
 
-def _terms(pattern: str, cued: int):
-    pairs = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    first = F.transform(pairs, lambda t: F.struct(F.lit("opening").alias("place"), F.lower(F.regexp_extract(t, r"^[^-'’ ]+", 0)).alias("term"), F.lit(cued).alias("cued")))
-    last = F.transform(pairs, lambda t: F.struct(F.lit("closing").alias("place"), F.lower(F.regexp_extract(F.substring_index(t, " ", -1), r"^[^-'’]+", 0)).alias("term"), F.lit(cued).alias("cued")))
-    return [first, last]
-
-
 def disclosure(documents: DataFrame) -> DataFrame:
     """(place, term, seen, cued, bits): PMI in bits between a term at one place of a capitalised pair and identity contexts.
 
     ``place`` is 'opening' or 'closing'. Counted over all documents in one scan with map-side aggregation; no text is
     shuffled, and the counts are written once, as two results are drawn from them.
     """
-    tagged = F.flatten(F.array(*_terms(_PAIR_JVM, 0), *_terms(_CUED_JVM, 1)))
-    counts = documents.select(F.explode(tagged).alias("x")).groupBy("x.place", "x.term").agg(F.sum(1 - F.col("x.cued")).alias("seen"), F.sum("x.cued").alias("cued"))
+    # each pattern runs once a text; the pairs become rows before anything else is computed from them
+    found = F.explode(F.array(*(F.struct(F.lit(cued).alias("cued"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("pairs")) for cued, p in enumerate((_PAIR_JVM, _CUED_JVM)))))
+    pairs = documents.select(found.alias("f")).select("f.cued", F.explode("f.pairs").alias("pair"))
+    terms = F.explode(F.array(
+        F.struct(F.lit("opening").alias("place"), F.lower(F.regexp_extract("pair", r"^[^-'’ ]+", 0)).alias("term")),
+        F.struct(F.lit("closing").alias("place"), F.lower(F.regexp_extract(F.substring_index("pair", " ", -1), r"^[^-'’]+", 0)).alias("term")),
+    ))
+    counts = pairs.select("cued", terms.alias("x")).groupBy("x.place", "x.term").agg(F.sum(1 - F.col("cued")).alias("seen"), F.sum("cued").alias("cued"))
     counts = cut(counts.withColumn("seen", F.greatest("seen", "cued")))
     totals = counts.where("place = 'opening'").agg(F.sum("seen").alias("all_seen"), F.sum("cued").alias("all_cued"))
     bits = F.log2((F.col("cued") / F.col("seen")) / (F.col("all_cued") / F.col("all_seen")))
