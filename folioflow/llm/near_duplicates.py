@@ -25,8 +25,8 @@ from folioflow.operators.components import connected_components
 from folioflow.runtime import cut
 
 #: Similarity as a fraction, least number of distinct words, slots of the frequency table (4 bytes each are broadcast,
-#: whatever the corpus holds), and the bucket size above which a mask gets a third bit.
-NUM, DEN, LEAST_WORDS, SLOTS, HOT = 7, 10, 20, 1 << 18, 512
+#: whatever the corpus holds), and the bucket size above which a mask gets two more bits.
+NUM, DEN, LEAST_WORDS, SLOTS, HOT = 7, 10, 20, 1 << 18, 8192
 #: Sizes at which a new level with twice the blocks begins.
 LEVELS = ((20, 8), (64, 16), (205, 32), (656, 64), (2100, 128), (6720, 256), (21504, 512))
 
@@ -86,8 +86,20 @@ class Masks:
         shared = _ceil(size, 2 * self.num, self.num + self.den) if small else _ceil(size, self.num, self.den)
         return np.minimum(size, size - shared + common)
 
+    @staticmethod
+    def _pairs(w: np.ndarray, t: np.ndarray, p: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """All pairs of words of a text that fall in one block: arrays w, t, p sorted so, and the two index arrays."""
+        block = ((w >> np.uint64(40)) % blocks.astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((p, block, t))
+        w, t, p, run = w[order], t[order], p[order], (t * (1 << 20) + block)[order]
+        for lag in range(1, len(run)):
+            i = np.flatnonzero(run[lag:] == run[:-lag])
+            if not len(i):
+                break
+            yield w, t, p, i, i + lag
+
     def keys(self, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, text number, small, first position, second position) of all masks of all texts."""
+        """(key, text number, small, first position, second position, level) of all masks of all texts."""
         word, text, pos = self.ordered(hashes, size)
         out = []
         for level, (low, g) in enumerate(LEVELS):
@@ -97,32 +109,23 @@ class Masks:
             small_prefix = self.prefix(size, g + 1, True)
             length = np.where(own, self.prefix(size, g + 1, False), np.where(below, small_prefix, 0))
             take = pos < length[text]
-            if not take.any():
-                continue
-            w, t, p = word[take], text[take], pos[take]
-            block = ((w >> np.uint64(40)) % np.uint64(g)).astype(np.int64)
-            order = np.lexsort((p, block, t))
-            w, t, p, block = w[order], t[order], p[order], block[order]
-            run = t * g + block
-            lag = 1
-            while lag < len(run):
-                same = np.flatnonzero(run[lag:] == run[:-lag])
-                if not len(same):
-                    break
-                i, j = same, same + lag
-                out.append((_mix(w[i], w[j], level + 1), t[i], (p[i] < small_prefix[t[i]]) & (p[j] < small_prefix[t[j]]), p[i], p[j]))
-                lag += 1
+            for w, t, p, i, j in self._pairs(word[take], text[take], pos[take], np.full(take.sum(), g)):
+                out.append((_mix(w[i], w[j], level + 1), t[i], (p[i] < small_prefix[t[i]]) & (p[j] < small_prefix[t[j]]), p[i], p[j], np.full(len(i), level)))
         if not out:
-            return tuple(np.zeros(0, d) for d in (np.uint64, np.int64, bool, np.int64, np.int64))
+            return tuple(np.zeros(0, d) for d in (np.uint64, np.int64, bool, np.int64, np.int64, np.int64))
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def third(self, hashes: np.ndarray, size: np.ndarray, key: np.ndarray, small: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, row number, small) with a third bit for rows of hot buckets: three of the shared words are among the
-        rarest ``size - shared + 3``, so one of them is not in the mask yet."""
+    def finer(self, hashes: np.ndarray, size: np.ndarray, key: np.ndarray, small: np.ndarray, first: np.ndarray, second: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, row number, small) with two more bits for rows of hot buckets: ``g + 3`` of the shared words are among the
+        rarest ``size - shared + g + 3``; without the two of the mask, ``g + 1`` are left in ``g`` blocks."""
+        blocks = np.array([g for _, g in LEVELS])[level]
         word, text, pos = self.ordered(hashes, size)
-        take = (pos < self.prefix(size, 3, False)[text]) & (pos != first[text]) & (pos != second[text])
-        w, t, p = word[take], text[take], pos[take]
-        return _mix(key[t], w), t, small[t] & (p < self.prefix(size, 3, True)[t])
+        small_prefix = self.prefix(size, blocks + 3, True)
+        take = (pos < self.prefix(size, blocks + 3, False)[text]) & (pos != first[text]) & (pos != second[text])
+        out = [(_mix(key[t[i]], _mix(w[i], w[j])), t[i], small[t[i]] & (p[i] < small_prefix[t[i]]) & (p[j] < small_prefix[t[j]])) for w, t, p, i, j in self._pairs(word[take], text[take], pos[take], blocks[text[take]])]
+        if not out:
+            return tuple(np.zeros(0, d) for d in (np.uint64, np.int64, bool))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +145,8 @@ def parity_sketch(hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.
     return halves[0].view(np.int64), halves[1].view(np.int64)
 
 
-_ROW = "key long, id long, size int, small boolean, first int, second int, s1 long, s2 long"
-_NAMES = ["key", "id", "size", "small", "first", "second", "s1", "s2"]
+_ROW = "key long, id long, size int, small boolean, first int, second int, level int, s1 long, s2 long"
+_NAMES = ["key", "id", "size", "small", "first", "second", "level", "s1", "s2"]
 
 
 def _close(num: int, den: int):
@@ -172,10 +175,10 @@ def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int
             for at in range(0, batch.num_rows, 2000):
                 piece = batch.slice(at, 2000)
                 h, size = _flat(piece.column("h"))
-                key, text, small, first, second = masks.keys(h, size)
+                key, text, small, first, second, level = masks.keys(h, size)
                 s1, s2 = parity_sketch(h, size)
                 ids = piece.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), ids[text], size[text].astype(np.int32), small, first.astype(np.int32), second.astype(np.int32), s1[text], s2[text])], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), ids[text], size[text].astype(np.int32), small, first.astype(np.int32), second.astype(np.int32), level.astype(np.int32), s1[text], s2[text])], names=_NAMES)
 
     rows = hashed.mapInArrow(emit, _ROW)
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
@@ -188,8 +191,8 @@ def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int
                 piece = batch.slice(at, 2000)
                 h, size = _flat(piece.column("h"))
                 column = {n: piece.column(n).to_numpy(zero_copy_only=False) for n in _NAMES}
-                key, row, small = masks.third(h, size, column["key"].view(np.uint64), column["small"].astype(bool), column["first"], column["second"])
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), *(column[n][row] for n in ("id", "size")), small, *(column[n][row] for n in ("first", "second", "s1", "s2")))], names=_NAMES)
+                key, row, small = masks.finer(h, size, column["key"].view(np.uint64), column["small"].astype(bool), column["first"], column["second"], column["level"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), *(column[n][row] for n in ("id", "size")), small, *(column[n][row] for n in ("first", "second", "level", "s1", "s2")))], names=_NAMES)
 
     finer = counted.where(F.col("n") > hot).drop("n").join(hashed, "id").select(*_NAMES, "h").mapInArrow(refine, _ROW)
     return cold.unionByName(_collide(finer, num, den)).distinct()
