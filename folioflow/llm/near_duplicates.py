@@ -9,7 +9,7 @@ the similarity threshold implies is guaranteed to collide under one mask:
 * with ``m = g + 1`` common words in ``g`` blocks, one block holds two of them, and that pair of bits is a mask.
 
 The classic family (2^(r+1) - 1 dense masks) needs hundreds of tables at the radius of 14 to 20 bits that 0.7 means here; this one
-needs about 0.8 masks a word and keeps the guarantee. A parity sketch of 128 bits, whose Hamming distance never exceeds the
+needs about 0.8 masks a word and keeps the guarantee. A parity sketch of 256 bits, whose Hamming distance never exceeds the
 true one, refuses most chance collisions inside the join; what is left is checked exactly.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.operators.components import connected_components
 from folioflow.runtime import cut
@@ -133,33 +133,42 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), np.diff(offsets)
 
 
-def parity_sketch(hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit halves; a bit is the parity of the words that fall on it, so two sketches differ in no more bits than the
+def parity_sketch(hashes: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Four 64-bit parts; a bit is the parity of the words that fall on it, so two sketches differ in no more bits than the
     sets in words."""
-    bit = (hashes >> np.uint64(17)) & np.uint64(127)
+    bit = (hashes >> np.uint64(17)) & np.uint64(255)
     value = np.left_shift(np.uint64(1), bit & np.uint64(63))
     begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-    halves = []
-    for half in (0, 1):
-        halves.append(np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == half, value, np.uint64(0)), begin) if len(hashes) else np.zeros(0, np.uint64))
-    return halves[0].view(np.int64), halves[1].view(np.int64)
+    if not len(hashes):
+        return [np.zeros(0, np.int64)] * 4
+    return [np.bitwise_xor.reduceat(np.where((bit >> np.uint64(6)) == part, value, np.uint64(0)), begin).view(np.int64) for part in range(4)]
 
 
-_ROW = "key long, id long, size int, small boolean, first int, second int, level int, s1 long, s2 long"
-_NAMES = ["key", "id", "size", "small", "first", "second", "level", "s1", "s2"]
+_SKETCH = ["s1", "s2", "s3", "s4"]
+_ROW = "key long, id long, meta long, s1 long, s2 long, s3 long, s4 long"
+_NAMES = ["key", "id", "meta", *_SKETCH]
 
 
-def _close(num: int, den: int):
+def _pack(size: np.ndarray, first: np.ndarray, second: np.ndarray, level: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Size, positions, level and role of a row in one 64-bit number, as every byte of a row is shuffled."""
+    return (size.astype(np.int64) << 44) | (first.astype(np.int64) << 24) | (second.astype(np.int64) << 4) | (level.astype(np.int64) << 1) | small.astype(np.int64)
+
+
+def _size(side: str) -> Column:
+    return F.shiftrightunsigned(f"{side}.meta", 44)
+
+
+def _close(num: int, den: int) -> Column:
     """Join condition of a collision: the left text is the smaller, and neither sizes nor sketches rule the pair out."""
-    a, b = F.col("x.size"), F.col("y.size")
+    a, b = _size("x"), _size("y")
     shared = F.floor((num * (a + b) + num + den - 1) / F.lit(num + den))
-    differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+    differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _SKETCH), F.lit(0))
     ordered = (a < b) | ((a == b) & (F.col("x.id") < F.col("y.id")))
     return ordered & (a * den >= b * num) & (differ <= a + b - 2 * shared)
 
 
 def _collide(rows: DataFrame, num: int, den: int) -> DataFrame:
-    x, y = rows.where("small").alias("x"), rows.alias("y")
+    x, y = rows.where(F.col("meta").bitwiseAND(1) == 1).alias("x"), rows.alias("y")
     return x.join(y, (F.col("x.key") == F.col("y.key")) & _close(num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
@@ -176,9 +185,9 @@ def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int
                 piece = batch.slice(at, 2000)
                 h, size = _flat(piece.column("h"))
                 key, text, small, first, second, level = masks.keys(h, size)
-                s1, s2 = parity_sketch(h, size)
-                ids = piece.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), ids[text], size[text].astype(np.int32), small, first.astype(np.int32), second.astype(np.int32), level.astype(np.int32), s1[text], s2[text])], names=_NAMES)
+                ids, sketch = piece.column("id").to_numpy(), parity_sketch(h, size)
+                columns = [key.view(np.int64), ids[text], _pack(size[text], first, second, level, small), *(x[text] for x in sketch)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
 
     rows = hashed.mapInArrow(emit, _ROW)
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
@@ -190,9 +199,12 @@ def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int
             for at in range(0, batch.num_rows, 2000):
                 piece = batch.slice(at, 2000)
                 h, size = _flat(piece.column("h"))
-                column = {n: piece.column(n).to_numpy(zero_copy_only=False) for n in _NAMES}
-                key, row, small = masks.finer(h, size, column["key"].view(np.uint64), column["small"].astype(bool), column["first"], column["second"], column["level"])
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key.view(np.int64), *(column[n][row] for n in ("id", "size")), small, *(column[n][row] for n in ("first", "second", "level", "s1", "s2")))], names=_NAMES)
+                column = {n: piece.column(n).to_numpy() for n in _NAMES}
+                meta = column["meta"]
+                first, second, level, small = (meta >> 24) & 0xFFFFF, (meta >> 4) & 0xFFFFF, (meta >> 1) & 7, (meta & 1).astype(bool)
+                key, row, role = masks.finer(h, size, column["key"].view(np.uint64), small, first, second, level)
+                columns = [key.view(np.int64), column["id"][row], _pack(size[row], first[row], second[row], level[row], role), *(column[s][row] for s in _SKETCH)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
 
     finer = counted.where(F.col("n") > hot).drop("n").join(hashed, "id").select(*_NAMES, "h").mapInArrow(refine, _ROW)
     return cold.unionByName(_collide(finer, num, den)).distinct()
