@@ -154,22 +154,23 @@ def _pack(size: np.ndarray, first: np.ndarray, second: np.ndarray, level: np.nda
     return (size.astype(np.int64) << 44) | (first.astype(np.int64) << 24) | (second.astype(np.int64) << 4) | (level.astype(np.int64) << 1) | small.astype(np.int64)
 
 
-def _size(side: str) -> Column:
-    return F.shiftrightunsigned(f"{side}.meta", 44)
+def _size(meta: str) -> Column:
+    return F.shiftrightunsigned(meta, 44)
 
 
 def _close(num: int, den: int) -> Column:
-    """Join condition of a collision: the left text is the smaller, and neither sizes nor sketches rule the pair out."""
-    a, b = _size("x"), _size("y")
+    """Join condition of a collision: the first text is the smaller, and neither sizes nor sketches rule the pair out."""
+    a, b = _size("meta"), _size("y_meta")
     shared = F.floor((num * (a + b) + num + den - 1) / F.lit(num + den))
-    differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in _SKETCH), F.lit(0))
-    ordered = (a < b) | ((a == b) & (F.col("x.id") < F.col("y.id")))
+    differ = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"y_{s}"))) for s in _SKETCH), F.lit(0))
+    ordered = (a < b) | ((a == b) & (F.col("id") < F.col("y_id")))
     return ordered & (a * den >= b * num) & (differ <= a + b - 2 * shared)
 
 
 def _collide(rows: DataFrame, num: int, den: int) -> DataFrame:
-    x, y = rows.where(F.col("meta").bitwiseAND(1) == 1).alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & _close(num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    """Renamed columns keep the two sides one subplan, so that masks are made and shuffled once."""
+    x, y = rows.where(F.col("meta").bitwiseAND(1) == 1), rows.select(*(F.col(c).alias(f"y_{c}") for c in _NAMES))
+    return x.join(y, (F.col("key") == F.col("y_key")) & _close(num, den)).select(F.col("id").alias("a"), F.col("y_id").alias("b"))
 
 
 def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int = SLOTS, hot: int = HOT) -> DataFrame:
