@@ -7,12 +7,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folioflow.functions.text import terms
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Largest number of distinct (query, term) rows that is broadcast, some 20 MB.
+QUERY_TERMS = 500_000
 
 
 def postings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl), counted with map-side aggregation before the one exchange."""
-    base = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("doc_id"), terms(text_column).alias("t"))
-    each = base.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    """(doc_id, term, tf, dl), partitioned by document: texts are dealt by id once, and everything that is later grouped by
+    document stays where it is. The fixed number of partitions keeps few but long texts spread."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).repartition(n, "doc_id")
+    each = base.select("doc_id", terms("text").alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     return each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -33,14 +37,16 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 15, query_id: str = "qu
     """(query_id, doc_id, score, rank) of the ``k`` best texts of each query.
 
     Repeated query terms count again. Scores are compared after rounding to six digits, ties by the smaller id; scores not
-    above zero are no hits. The query terms are weighted first, so that only postings of terms that are asked for are
-    shuffled, and partial sums are built before the exchange on (query, document).
+    above zero are no hits. A query set of at most ``QUERY_TERMS`` weighted terms (counted first) is broadcast to the
+    postings, whose partitioning by document then serves the sums too, so that only k rows per query and partition are
+    shuffled; a larger one is joined by term, with partial sums before the exchange.
     """
     posts = postings(docs, id_column, text_column)
     stats = corpus(docs, text_column)
     asked = queries.where(F.col(query_text).isNotNull()).select(F.col(query_id).alias("query_id"), F.explode(terms(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     weighted = asked.join(term_weights(posts, stats), "term").join(F.broadcast(stats.select("avgdl")))
-    hit = posts.join(weighted, "term")
+    few = asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS
+    hit = posts.join(F.broadcast(weighted) if few else weighted, "term")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(scored, k)

@@ -110,7 +110,7 @@ ORACLES: dict[str, str] = {
         SELECT array_to_string(e, ' > ') AS path, array_to_string(rs, ',') AS relations, len(rs) AS hops FROM (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3)""",
     "graph_degree": f"WITH {_EDGES} SELECT entity, count(*) AS degree FROM (SELECT unnest([subject, object]) AS entity FROM edges) GROUP BY entity",
     "graph_degree_subgraph": f"WITH {_EDGES}, n AS (SELECT entity FROM (SELECT unnest([subject, object]) AS entity FROM edges) GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 60) SELECT subject, relation, object, count FROM edges WHERE subject IN (FROM n) AND object IN (FROM n)",
-    "section_grouping": f"SELECT source, s AS section, min(page) AS page, count(*) AS n_chunks, md5(string_agg(text, ' ' ORDER BY chunk_id)) AS text_md5 FROM (SELECT *, {_SECTION} AS s FROM chunks WHERE source IS NOT NULL AND text IS NOT NULL) GROUP BY source, s",
+    "section_grouping": f"SELECT source, s AS section, min(page) AS page, count(*) AS n_chunks, sum(length(text))::BIGINT AS chars FROM (SELECT *, {_SECTION} AS s FROM chunks WHERE source IS NOT NULL AND text IS NOT NULL) GROUP BY source, s",
     "route_rules": f"""WITH r AS (SELECT answer_id, question, regexp_matches(question, '{_RE['s']}') AS s, regexp_matches(question, '{_RE['q']}') AS q, regexp_matches(question, '{_RE['r']}') AS r FROM answers_for_ragas WHERE question IS NOT NULL), t AS (SELECT *, CASE WHEN s THEN 'summary' WHEN q THEN 'fact' WHEN r THEN 'relation' ELSE 'fact' END AS type FROM r)
         SELECT answer_id, type, CASE WHEN s OR q OR r THEN 0.95 ELSE 0.5 END::DOUBLE AS confidence, CASE type WHEN 'summary' THEN 'document' WHEN 'relation' THEN 'section' ELSE 'paragraph' END AS level, CASE WHEN type = 'summary' THEN 'summary_index,vector' WHEN type = 'relation' THEN 'graph,vector' WHEN regexp_matches(question, '{_RE['i']}') THEN 'vector,summary_index,vlm' ELSE 'vector,summary_index' END AS tools, CASE WHEN type = 'relation' THEN 3 ELSE 1 END AS max_hops FROM t""",
     "think_strip": r"SELECT answer_id, regexp_replace(regexp_replace(regexp_replace(answer, '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS answer FROM answers_for_ragas",

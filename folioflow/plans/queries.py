@@ -295,7 +295,7 @@ def sentence_split(s, d):
 
 @query
 def section_grouping(s, d):
-    return summary.section_texts(table(s, d, "chunks")).select("source", "section", "page", "n_chunks", F.md5("text").alias("text_md5"))
+    return summary.section_groups(table(s, d, "chunks"))
 
 
 @query

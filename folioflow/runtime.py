@@ -59,3 +59,12 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what} has more than {limit} rows; it is no reference list that may be broadcast")
     return rows
+
+
+def small_side(df: DataFrame, *texts: str) -> DataFrame:
+    """``df`` marked for broadcast if the measured length of its text columns (and 64 bytes a row) is within
+    ``BROADCAST_LIMIT``; else as it is, for a shuffle join that AQE splits where keys are skewed."""
+    from pyspark.sql import functions as F
+
+    size = df.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(64)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_LIMIT else df
