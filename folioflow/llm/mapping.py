@@ -120,7 +120,8 @@ class Mapper:
         self.automaton = ahocorasick.Automaton()
         for p, id_ in self.phrase_of.items():
             self.automaton.add_word(f" {p} ", (len(p), id_))
-        self.automaton.make_automaton()
+        if self.phrase_of:
+            self.automaton.make_automaton()
         # squeezed forms for the similarity step, with the openings that inflected wordings take
         self.squeezed: dict[str, int] = {}
         for p, id_ in self.phrase_of.items():
@@ -172,7 +173,7 @@ class Mapper:
 
     def _map(self, value: str) -> int:
         words = plain(value).split()
-        if not words:
+        if not words or not self.phrase_of:
             return 0
         return self._mention(words) or self._similar(words)
 

@@ -3,7 +3,8 @@
 Method: information-theoretic sanitisation. Structured identifiers (addresses, numbers) are read by recognisers. How
 strongly a term reveals a protected person is estimated from corpus co-occurrence: the pointwise mutual information of
 the term with identity contexts (a title or phrase that introduces a person, or an identifier beside it). Given names are
-the terms above the disclosure threshold that open a name; other terms above it are generalised in the sanitised text.
+the terms above the disclosure threshold that open a name; the sanitised text also generalises other capitalised terms, towns
+say, that are seen almost only in sentences which hold an identity context.
 """
 
 from __future__ import annotations
@@ -104,6 +105,23 @@ def lexicon(documents: DataFrame, *, min_bits: float = MIN_BITS, min_support: in
     return frozenset(r["term"] for r in rows if r["place"] == "opening"), frozenset(r["term"] for r in rows if r["place"] == "closing")
 
 
+_IDENTITY_JVM = rf"{CUES}[A-ZÀ-ÞĀ-Ž]|@[A-Za-z]|\d{{3}}[-. ]\d{{2,4}}[-. ]\d{{3,4}}"
+_INNER_JVM = r"(?<=[a-zà-ÿ,;] )[A-ZÀ-ÞĀ-Ž][a-zß-öø-ÿ]{3,}(?![\w-])"
+
+
+def disclosing_terms(documents: DataFrame, *, min_bits: float = 3.0, min_support: int = 5, max_terms: int = MAX_TERMS) -> frozenset:
+    """Capitalised terms inside sentences whose PMI with sentences of identity context is at least ``min_bits`` and that
+    are rarely seen elsewhere; the words that introduce persons are not terms."""
+    sentence = documents.where("text is not null").select(F.explode(F.split("text", r"(?<=[.!?。！？])\s+|\n")).alias("s"))
+    each = sentence.select(F.col("s").rlike(_IDENTITY_JVM).cast("int").alias("cued"), F.array_distinct(F.regexp_extract_all("s", F.lit(_INNER_JVM), F.lit(0))).alias("t"))
+    totals = each.agg(F.avg("cued").alias("share"))
+    counts = each.select("cued", F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("cued").alias("cued"))
+    bits = F.log2(F.col("cued") / F.col("seen") / F.col("share"))
+    kept = counts.where(F.col("cued") >= min_support).join(F.broadcast(totals)).where((bits >= min_bits) & (F.col("cued") >= 0.8 * F.col("seen")))
+    rows = bounded_rows(kept.where(~F.col("term").rlike(rf"^{CUE_WORDS}$")).select("term"), max_terms, "the list of disclosing terms")
+    return frozenset(r["term"] for r in rows)
+
+
 # What a text must hold before the recognisers of a kind are worth running; one automaton looks for all of it at once.
 _EMAIL, _ADDRESS, _CUE = 1, 2, 4
 _SIGNS = {
@@ -197,7 +215,7 @@ class Finder:
                 continue
             # a cue before it, an identifier right after it, or another name joined by "and" or a comma is an identity context
             revealed = opening(first) in self.names or _CUE_END.search(text, max(0, a - 48), a)
-            revealed = revealed or any(text[b : b + k].strip(" ,(<[") == "" and b + k in beside for k in range(1, 5))
+            revealed = revealed or any(text[b : b + k].strip(" ,(<[\n") == "" and b + k in beside for k in range(1, 5))
             revealed = revealed or 0 <= last_end <= a and _FOLLOW.fullmatch(text[last_end:a])
             if revealed and add("name", a, b):
                 last_end, at = b, b - 1
@@ -210,12 +228,17 @@ def find(text: str, names: frozenset = frozenset(), common: frozenset = frozense
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
-def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
+_TERM = re.compile(r"(?<![\w-])[A-ZÀ-ÞĀ-Ž][a-zß-öø-ÿ]{3,}(?![\w-])")
+
+
+def redact(text: str, spans: list[tuple[str, int, int]], terms: frozenset = frozenset()) -> str:
+    """Typed placeholders for the spans; ``terms`` elsewhere become ``[TERM]``."""
     out, at = [], 0
+    soften = (lambda s: _TERM.sub(lambda m: "[TERM]" if m[0] in terms else m[0], s)) if terms else str
     for kind, a, b in spans:
-        out += [text[at:a], PLACEHOLDER[kind]]
+        out += [soften(text[at:a]), PLACEHOLDER[kind]]
         at = b
-    return "".join([*out, text[at:]])
+    return "".join([*out, soften(text[at:])])
 
 
 def _apply(documents: DataFrame, make, schema: str, columns: list[str], known: tuple[frozenset, frozenset] | None) -> DataFrame:
@@ -240,6 +263,7 @@ def personal_data(documents: DataFrame, known: tuple[frozenset, frozenset] | Non
     return _apply(documents.where("text is not null"), lambda i, t, s: [(i, k, t[a:b], a, b) for k, a, b in s], "doc_id long, kind string, found string, start_char int, end_char int", ["doc_id", "kind", "found", "start_char", "end_char"], known)
 
 
-def sanitised(documents: DataFrame, known: tuple[frozenset, frozenset] | None = None) -> DataFrame:
-    """(doc_id, text, n_found): the text with typed placeholders; a null text stays null."""
-    return _apply(documents, lambda i, t, s: [(i, None if t is None else redact(t, s), len(s))], "doc_id long, text string, n_found int", ["doc_id", "text", "n_found"], known)
+def sanitised(documents: DataFrame, known: tuple[frozenset, frozenset] | None = None, terms: frozenset | None = None) -> DataFrame:
+    """(doc_id, text, n_found): the text with typed placeholders and generalised terms; a null text stays null."""
+    terms = disclosing_terms(documents) if terms is None else terms
+    return _apply(documents, lambda i, t, s: [(i, None if t is None else redact(t, s, terms), len(s))], "doc_id long, text string, n_found int", ["doc_id", "text", "n_found"], known)
