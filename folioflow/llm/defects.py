@@ -124,6 +124,8 @@ def breaks_off(answer: str) -> bool:
     found = _WORD.findall(text)
     if re.search(r"[.!?。！？]\s+\S", text) or "," in text or ";" in text:
         return True
+    if len(re.findall(r"(?<!\S)[^\W\d_A-Z][^\W\d_-]+(?:-[^\W\d_]+)*(?!\S)", text)) >= 3:
+        return True
     return len(found) >= 4 and sum(w.lower() in ALL_FUNCTION_WORDS for w in found) + (len(found) >= 6) + (found[0].lower() in _OPENERS) >= 2 or len(found) >= 2 and found[0].lower() in _OPENERS
 
 

@@ -34,7 +34,7 @@ IRREGULAR = {
     "pretrain": ("pretrains", "pretrained", "pretraining", "pre-train", "pre-trains", "pre-trained", "pre-training"), "component": ("component", "components"), "kind": ("kind", "kinds"), "instance": ("instance", "instances"),
     "type": ("type", "types"), "part": ("part", "parts"), "versus": ("versus", "vs"), "employ": ("employs", "employed", "employing"), "anticipate": ("anticipates", "anticipated", "anticipating"),
 }
-WORDINGS = {"use": ("make use of", "making use of"), "depend": ("dependent", "dependence"), "measure": ("measured via",), "embed": ("embedding of",), "cut": ("cut down", "cutting down"), "beat": ("has beaten",)}
+WORDINGS = {"use": ("make use of", "makes use of", "made use of", "making use of"), "depend": ("dependent", "dependence"), "measure": ("measured via",), "embed": ("embedding of",), "cut": ("cut down", "cutting down"), "beat": ("has beaten",)}
 
 
 def plain(value: str) -> str:
@@ -74,6 +74,8 @@ def phrases(name: str, label: str | None, keywords: list[str] | None) -> set[str
     for phrase in [name.replace("_", " "), *(k for k in keywords or () if k)]:
         head, _, rest = phrase.strip().lower().partition(" ")
         heads = inflections(base_of(head)) | {head}
+        if head.endswith("ed"):  # a participle as a name: compared -> compare, trained -> train
+            heads |= inflections(head[:-1]) | inflections(head[:-2])
         for form in heads:
             found.add(plain(f"{form} {rest}"))
         if head == "be" and rest:
