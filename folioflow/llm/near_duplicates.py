@@ -190,7 +190,8 @@ def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int
                 columns = [key.view(np.int64), ids[text], _pack(size[text], first, second, level, small), *(x[text] for x in sketch)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
 
-    rows = hashed.mapInArrow(emit, _ROW)
+    # the filter that joins on the key would add; stated here, all branches share one exchange
+    rows = hashed.mapInArrow(emit, _ROW).where("key is not null")
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     cold = _collide(counted.where(F.col("n") <= hot), num, den)
 
