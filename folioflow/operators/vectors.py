@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from folioflow.functions.sets import dot, norm
 from folioflow.operators.lexical import ranked
+from folioflow.runtime import cut
 
 #: Largest block of query vectors (rows) that is sent to the executors at once.
 QUERY_BLOCK = 4096
@@ -27,9 +30,10 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 15, id_column: str =
 def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 15, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank) for every query of a stated set against all vectors.
 
-    Queries come in blocks of at most ``QUERY_BLOCK``; each block is broadcast (a proven size), and every partition of
-    ``vectors`` keeps only its own ``k`` best per query, so what is shuffled is k rows per query and partition. Null vectors and
-    those of another length are no hits.
+    Queries come to the driver in blocks of at most ``QUERY_BLOCK``, never all at once; each block goes out with its scan (a
+    proven size), and every partition of ``vectors`` keeps only its own ``k`` best per query, so what is shuffled is k rows
+    per query and partition. With more than one block, each block's result is written before the next begins. Null vectors
+    and those of another length are no hits.
     """
     def scan(block: pd.DataFrame) -> DataFrame:
         ids = block["query_id"].to_numpy()
@@ -57,11 +61,13 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 15, id_column:
 
         return vectors.select(id_column, vector).mapInPandas(run, f"query_id long, {id_column} long, score double")
 
-    asked = queries.toPandas()
-    blocks = [scan(asked.iloc[i : i + QUERY_BLOCK]) for i in range(0, len(asked), QUERY_BLOCK)]
-    if not blocks:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, {id_column} long, score double, rank long")
-    all_ = blocks[0]
-    for b in blocks[1:]:
-        all_ = all_.unionByName(b)
-    return ranked(all_, k, ties=id_column)
+    found, held = None, []
+    for row in chain(queries.where("q is not null").select("query_id", "q").toLocalIterator(), [None]):
+        if row is not None:
+            held.append((row["query_id"], row["q"]))
+        if held and (row is None or len(held) == QUERY_BLOCK):
+            one = ranked(scan(pd.DataFrame(held, columns=["query_id", "q"])), k, ties=id_column)
+            several = found is not None or row is not None
+            one = cut(one) if several else one
+            found, held = one if found is None else found.unionByName(one), []
+    return found if found is not None else vectors.sparkSession.createDataFrame([], f"query_id long, {id_column} long, score double, rank long")

@@ -64,6 +64,13 @@ def test_vectors(spark):
     q = v.where("vec_id = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     assert rows(vectors.batch_top_k(q, v, 2)) == [(1, 1, 1.0, 1), (1, 4, 0.707107, 2)]
     assert vectors.batch_top_k(q.limit(0), v, 2).count() == 0
+    many = v.where("vec_id <> 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).where("size(q) = 2")
+    whole = rows(vectors.batch_top_k(many, v, 2))
+    vectors.QUERY_BLOCK, kept = 1, vectors.QUERY_BLOCK
+    try:
+        assert rows(vectors.batch_top_k(many, v, 2)) == whole and len(whole) == 6
+    finally:
+        vectors.QUERY_BLOCK = kept
     assert rows(vectors.top_k(v.where("size(embedding) = 2"), [0.0, 1.0], 1)) == [(2, 1.0, 1)]
 
 
