@@ -88,17 +88,17 @@ def test_merge_counts_first_page_and_drops_citations(spark):
 
 
 def test_resolution_order():
-    assert graph.resolve({"MiniMax-M1": 5, "MiniMax-M1-80k": 2, "minimax": 1})["MiniMax-M1"] == "MiniMax-M1-80k"
-    assert graph.resolve({"BGE": 9, "BGE-M3": 3, "BGE-Large": 2})["BGE"] == "BGE"
-    assert graph.resolve({"minimaxm1x": 3, "minimaxm2x": 1})["minimaxm2x"] == "minimaxm1x"
+    assert graph.resolve({"Orvella-M1": 5, "Orvella-M1-80k": 2, "orvella": 1})["Orvella-M1"] == "Orvella-M1-80k"
+    assert graph.resolve({"VEQ": 9, "VEQ-M3": 3, "VEQ-Large": 2})["VEQ"] == "VEQ"
+    assert graph.resolve({"orvellam1x": 3, "orvellam2x": 1})["orvellam2x"] == "orvellam1x"
     asked = []
     graph.resolve({"abcdefgh": 3, "abcdefxy": 1}, lambda a, b: asked.append((a, b)) or True)
     assert asked == [("abcdefgh", "abcdefxy")]
 
 
 def test_entity_pairs(spark):
-    f = spark.createDataFrame([("BGE", 3), ("bge-m3", 1), ("x", 1), ("Attention", 2), ("Atention", 1)], "entity string, freq long")
-    assert rows(graph.entity_candidates(f)) == [("BGE", "bge-m3")]
+    f = spark.createDataFrame([("VEQ", 3), ("veq-m3", 1), ("x", 1), ("Attention", 2), ("Atention", 1)], "entity string, freq long")
+    assert rows(graph.entity_candidates(f)) == [("VEQ", "veq-m3")]
     assert [(r["a"], r["b"]) for r in graph.similar_entities(f, 0.88).collect()] == [("Atention", "Attention")]
     assert dict(rows(graph.resolve_entities(f)))["Atention"] == "Attention"
 
