@@ -113,11 +113,12 @@ def disclosing_terms(documents: DataFrame, *, min_bits: float = 3.0, min_support
     """Capitalised terms inside sentences whose PMI with sentences of identity context is at least ``min_bits`` and that
     are rarely seen elsewhere; the words that introduce persons are not terms."""
     sentence = documents.where("text is not null").select(F.explode(F.split("text", r"(?<=[.!?。！？])\s+|\n")).alias("s"))
-    each = sentence.select(F.col("s").rlike(_IDENTITY_JVM).cast("int").alias("cued"), F.array_distinct(F.regexp_extract_all("s", F.lit(_INNER_JVM), F.lit(0))).alias("t"))
-    totals = each.agg(F.avg("cued").alias("share"))
-    counts = each.select("cued", F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("cued").alias("cued"))
+    # the empty term stands for the sentence itself, so that one pass gives the totals too
+    each = sentence.select(F.col("s").rlike(_IDENTITY_JVM).cast("int").alias("cued"), F.explode(F.array_union(F.array(F.lit("")), F.regexp_extract_all("s", F.lit(_INNER_JVM), F.lit(0)))).alias("term"))
+    counts = cut(each.groupBy("term").agg(F.count("*").alias("seen"), F.sum("cued").alias("cued")))
+    share = counts.where("term = ''").select((F.col("cued") / F.col("seen")).alias("share"))
     bits = F.log2(F.col("cued") / F.col("seen") / F.col("share"))
-    kept = counts.where(F.col("cued") >= min_support).join(F.broadcast(totals)).where((bits >= min_bits) & (F.col("cued") >= 0.8 * F.col("seen")))
+    kept = counts.where((F.col("term") != "") & (F.col("cued") >= min_support)).join(F.broadcast(share)).where((bits >= min_bits) & (F.col("cued") >= 0.8 * F.col("seen")))
     rows = bounded_rows(kept.where(~F.col("term").rlike(rf"^{CUE_WORDS}$")).select("term"), max_terms, "the list of disclosing terms")
     return frozenset(r["term"] for r in rows)
 
