@@ -105,7 +105,7 @@ def lexicon(documents: DataFrame, *, min_bits: float = MIN_BITS, min_support: in
     return frozenset(r["term"] for r in rows if r["place"] == "opening"), frozenset(r["term"] for r in rows if r["place"] == "closing")
 
 
-_IDENTITY_JVM = rf"{CUES}[A-ZÀ-ÞĀ-Ž]|@[A-Za-z]|\d{{3}}[-. ]\d{{2,4}}[-. ]\d{{3,4}}"
+_IDENTITY_JVM = rf"(?=[A-ZÀ-ÞĀ-Ž])(?<={CUES})[A-ZÀ-ÞĀ-Ž]|@[A-Za-z]|\d{{3}}[-. ]\d{{2,4}}[-. ]\d{{3,4}}"
 _INNER_JVM = r"(?<=[a-zà-ÿ,;] )[A-ZÀ-ÞĀ-Ž][a-zß-öø-ÿ]{3,}(?![\w-])"
 
 
