@@ -135,6 +135,20 @@ def test_summaries(spark):
     assert summary.summary_index(c.limit(0)).count() == 0
 
 
+def test_large_groups_are_summarised_as_the_joined_text_is(spark):
+    import random
+
+    r = random.Random(7)
+    words = [f"{a}{b}" for a in ("Graph", "net", "Inter", "model", "data-", "un") for b in ("work", "node", "Layer", "7b", "s", "net")]
+    text = lambda: " ".join(r.choice(words) + r.choice(["", "", ".", " 1,2" + str(r.randint(0, 99)), "  ", "! Then", "? x"]) for _ in range(r.randint(0, 30)))
+    data = [(g, i, text()) for g, n in (("a", 150), ("b", 64), ("c", 3), ("d", 70)) for i in range(n)] + [("e", i, "tiny") for i in range(200)] + [("f", i, "One sentence that is long enough here." if i == 50 else "") for i in range(80)]
+    r.shuffle(data)
+    expected = {g: summary.summarise(" ".join(t for _, _, t in sorted(x for x in data if x[0] == g)), 4) for g in "abcdef"}
+    items = spark.createDataFrame(data, "k string, ord long, text string")
+    assert dict(rows(summary.summarise_groups(items, ["k"], 4))) == expected
+    assert dict(rows(summary._summarise_large(items, ["k"], 4, bound=300))) == expected
+
+
 def test_faithfulness(spark):
     a = spark.createDataFrame([(1, "The Model reaches 45 points here. The Model beats Other by 99 points.", ["model reaches 45 points"]), (2, None, ["x"]), (3, "Some answer stands here.", []), (4, "Some answer stands here.", None)], "answer_id long, answer string, contexts array<string>")
     assert rows(verify.faithfulness(a).select("answer_id", "n_claims", "n_supported", "faithfulness", "needs_retry")) == [(1, 2, 1, 0.5, True), (2, 0, 0, 1.0, False), (3, 0, 0, 1.0, False), (4, 0, 0, 1.0, False)]
