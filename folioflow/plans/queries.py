@@ -10,7 +10,7 @@ from folioflow.functions import sets
 from folioflow.functions.text import keywords, sentences, strip_think, terms
 from folioflow.operators import chunking, evaluate, fusion, graph, layout, lexical, summary, vectors, verify
 from folioflow.plans import pattern, retrieve
-from folioflow.runtime import table
+from folioflow.runtime import cut, table
 from folioflow.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,9 +315,9 @@ def section_retrieve(s, d):
 @query
 def hierarchical_retrieve(s, d):
     q = _asked(s, d).where("query_id % 100 = 0")
-    found = lexical.search(q, table(s, d, "chunks").select(F.col("chunk_id").alias("doc_id"), "text"), 8, query_text="question")
-    paragraphs = found.join(table(s, d, "chunks").select(F.col("chunk_id").alias("doc_id"), "text"), "doc_id").select("query_id", "text", "rank")
-    return summary.hierarchical(q, summary.summary_index(table(s, d, "chunks")), paragraphs)
+    chunks = table(s, d, "chunks")
+    index = cut(summary.summary_index(chunks))
+    return summary.hierarchical(q, index, summary.search_paragraphs(q, index, chunks))
 
 
 @query

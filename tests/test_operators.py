@@ -149,6 +149,22 @@ def test_large_groups_are_summarised_as_the_joined_text_is(spark):
     assert dict(rows(summary._summarise_large(items, ["k"], 4, bound=300))) == expected
 
 
+def test_paragraphs_come_from_the_own_source(spark):
+    text = ["Alpha Gadget one is described here in full.", "Nothing of that kind is written in this.", "The Gadget alone is named in this part.", "Other words."]
+    c = spark.createDataFrame([(i, "a", s, 1, t) for i, (s, t) in enumerate(zip(("S", "S", "", "T"), text))] + [(100 + i, "b", "S", 1, f"Alpha Gadget {i} of another paper.") for i in range(20)], "chunk_id long, source string, section string, page int, text string")
+    q = spark.createDataFrame([(1, "Alpha Gadget?", "a"), (2, "Zebra?", "a")], "query_id long, question string, source string")
+    index = summary.summary_index(c)
+    # first: drill-down and keyword; then keyword alone at place 2 and drill-down alone at place 2 with its bonus
+    assert set(rows(summary.search_paragraphs(q, index, c))) == {(1, text[0], 1), (1, text[1], 2), (1, text[2], 3), *((2, t, i + 1) for i, t in enumerate(text))}
+    near = spark.createDataFrame([(1, text[3], 1)], "query_id long, text string, rank int")
+    assert (1, text[3], 3) in rows(summary.search_paragraphs(q, index, c, vector_hits=near))
+
+
+def test_a_brief_document_summary_is_redrawn(spark):
+    c = spark.createDataFrame([(i, "a", f"S{i}", i, f"Part {i}. Brief {i}.") for i in range(2)] + [(9, "a", "S0", 3, "No sentence")], "chunk_id long, source string, section string, page int, text string")
+    assert rows(summary.summary_index(c).where("level = 'document'").select("text")) == [("Part 0. Brief 0. Part 1. Brief 1. No sentence",)]
+
+
 def test_faithfulness(spark):
     a = spark.createDataFrame([(1, "The Model reaches 45 points here. The Model beats Other by 99 points.", ["model reaches 45 points"]), (2, None, ["x"]), (3, "Some answer stands here.", []), (4, "Some answer stands here.", None)], "answer_id long, answer string, contexts array<string>")
     assert rows(verify.faithfulness(a).select("answer_id", "n_claims", "n_supported", "faithfulness", "needs_retry")) == [(1, 2, 1, 0.5, True), (2, 0, 0, 1.0, False), (3, 0, 0, 1.0, False), (4, 0, 0, 1.0, False)]
