@@ -103,6 +103,11 @@ def test_entity_pairs(spark):
     assert dict(rows(graph.resolve_entities(f)))["Atention"] == "Attention"
 
 
+def test_a_name_in_several_longer_ones_stays_although_one_is_in_its_block(spark):
+    f = spark.createDataFrame([("Bazateke Lab", 3), ("BAZATEKE LAB:", 1), ("Bazateke Lab base", 1)], "entity string, freq long")
+    assert dict(rows(graph.resolve_entities(f)))["Bazateke Lab"] == "Bazateke Lab"
+
+
 def test_guard_and_parser(spark):
     assert pattern.guard("MATCH (a:Entity)-[r:RELATES_TO]->(b:Entity) WHERE a.name = 'training SET' RETURN b")[0]
     for bad in ("", None, "CREATE (a)", "MATCH (a) DELETE a RETURN a", "MATCH (a)", "MATCH (a) RETURN a; MATCH (b) RETURN b"):
