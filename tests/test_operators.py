@@ -170,6 +170,17 @@ def test_a_brief_document_summary_is_redrawn(spark):
     assert rows(summary.summary_index(c).where("level = 'document'").select("text")) == [("Part 0. Brief 0. Part 1. Brief 1. No sentence",)]
 
 
+def test_diversity_weighs_all_candidates(spark):
+    q = spark.createDataFrame([(1, "red fox den")], "query_id long, text string")
+    schema = "query_id long, doc_id long, text string, score double, source_tool string"
+    vector = spark.createDataFrame([(1, i, "red same words", 0.9 - i / 100, "vector") for i in range(15)], schema)
+    lexical_ = spark.createDataFrame([(1, 50, "fox den here", 0.3, "lexical")], schema)
+    assert (1, 50, 1) in rows(retrieve.multi_channel([vector, lexical_], q, k=2))
+    document = spark.createDataFrame([(1, -1, "nothing alike", 0.4, "summary_doc")], schema)
+    assert rows(retrieve.multi_channel([vector, lexical_, document], q, k=2)) == [(1, -1, 2), (1, 50, 1)]
+    assert (1, -1, 2) in rows(retrieve.multi_channel([vector.where("doc_id = 0"), document], q))
+
+
 def test_faithfulness(spark):
     a = spark.createDataFrame([(1, "The Model reaches 45 points here. The Model beats Other by 99 points.", ["model reaches 45 points"]), (2, None, ["x"]), (3, "Some answer stands here.", []), (4, "Some answer stands here.", None)], "answer_id long, answer string, contexts array<string>")
     assert rows(verify.faithfulness(a).select("answer_id", "n_claims", "n_supported", "faithfulness", "needs_retry")) == [(1, 2, 1, 0.5, True), (2, 0, 0, 1.0, False), (3, 0, 0, 1.0, False), (4, 0, 0, 1.0, False)]
