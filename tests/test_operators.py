@@ -108,6 +108,25 @@ def test_a_name_in_several_longer_ones_stays_although_one_is_in_its_block(spark)
     assert dict(rows(graph.resolve_entities(f)))["Bazateke Lab"] == "Bazateke Lab"
 
 
+def test_similar_names_are_all_found(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(3)
+    base = ["Pulisuku Institute", "Bazateke Lab", "aaaaaaaaaa", "ab", "Orvella-M1-80k", "x"]
+    names = {"[Pulisuku Institute]", '"Pulisuku Institute"'}
+    for _ in range(300):
+        e = list(r.choice(base))
+        for _ in range(r.randint(0, 3)):
+            e[r.randrange(len(e))] = r.choice(["", "q", "z[", e[0]])
+        names.add("".join(e))
+    names = sorted(names - {""})
+    f = spark.createDataFrame([(n, 1) for n in names], "entity string, freq long")
+    for least in (0.88, 0.75):
+        want = {(a, b) for a in names for b in names if a < b and round(SequenceMatcher(None, a.lower(), b.lower()).ratio(), 6) >= least}
+        assert {(x["a"], x["b"]) for x in graph.similar_entities(f, least).collect()} == want
+
+
 def test_guard_and_parser(spark):
     assert pattern.guard("MATCH (a:Entity)-[r:RELATES_TO]->(b:Entity) WHERE a.name = 'training SET' RETURN b")[0]
     for bad in ("", None, "CREATE (a)", "MATCH (a) DELETE a RETURN a", "MATCH (a)", "MATCH (a) RETURN a; MATCH (b) RETURN b"):
