@@ -124,9 +124,13 @@ def disclosing_terms(documents: DataFrame, *, min_bits: float = 3.0, min_support
 
 
 # What a text must hold before the recognisers of a kind are worth running; one automaton looks for all of it at once.
-_EMAIL, _ADDRESS, _CUE = 1, 2, 4
+_EMAIL, _ADDRESS, _CUE, _SPACED = 1, 2, 4, 8
+_SPACES = [chr(c) for c in range(0x3001) if re.match(r"\s", chr(c))]
+_SPACED_AT = re.compile(rf"\s(?:at|AT)\s[A-Za-z0-9][A-Za-z0-9-]*{_DOT}")
 _SIGNS = {
-    _EMAIL: ("@", "dot", "DOT", " AT ", "(at)", "[at]"),
+    # every way of _AT; between blanks it is common in prose, so there the label and dot that follow are looked for first
+    _EMAIL: ("@", *(f"{b}{space}{at}" for b in "([" for space in ("", *_SPACES) for at in ("at", "AT"))),
+    _SPACED: tuple(f"{a}{at}{b}" for a in _SPACES for b in _SPACES for at in ("at", "AT")),
     _ADDRESS: (
         *(f" {x}" for x in "Street St Avenue Ave Road Rd Lane Ln Boulevard Blvd Drive Dr Court Ct Place Pl Square Sq Terrace Way Row Close Crescent Highway Hwy Parkway Pkwy Alley Walk Quay".split()),
         *(f" {x} " for x in "rue avenue boulevard place chemin impasse allée quai route cours square".split()),
@@ -166,6 +170,8 @@ class Finder:
         signs = 0
         for _, bits in self.signs.iter(text):
             signs |= bits
+        if signs & _SPACED:
+            signs = signs & ~_SPACED | (_EMAIL if _SPACED_AT.search(text) else 0)
         numbers = _DIGITS.search(text) or _LETTERED.search(text)
         if not signs and not numbers:
             return []

@@ -344,3 +344,16 @@ def test_redaction_and_tables(spark):
     assert privacy.personal_data(d.limit(0)).count() == 0
     scores = {r["term"]: r["bits"] for r in privacy.disclosure(d).where("place = 'opening'").collect()}
     assert scores["irene"] is not None and scores.get("graph") is None
+
+
+def test_the_gate_lets_every_written_out_address_through():
+    from folioflow.llm.privacy import EMAIL, Finder
+
+    find = Finder()
+    at = ["@", *(f"{a}{b}{c}{w}{d}{e}{f}" for a in ("", " ") for b, e in ("()", "[]") for c in ("", " ", "\n") for w in ("at", "AT", "@") for d in ("", " ") for f in ("", " ")), *(f"{a}{w}{b}" for a in " \n\u00a0" for w in ("at", "AT") for b in " \t\u3000")]
+    dot = [".", *(f"{a}{b}{c}{w}{d}{e}{f}" for a in ("", " ") for b, e in ("()", "[]") for c in ("", " ") for w in ("dot", "DOT") for d in ("", " ") for f in ("", " ")), " dot ", "\nDOT "]
+    for a in at:
+        for d in dot:
+            text = f"jane.doe{a}example{d}org"
+            assert EMAIL.fullmatch(text) and ("email", 0, len(text)) in find(text), text
+    assert find("They met at noon. It was late at night") == []
