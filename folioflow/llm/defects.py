@@ -1,8 +1,9 @@
 """Problem 6: unusable question and answer pairs, each with its defect.
 
-Method: distinct answers are range-partitioned and sorted by text; an answer that is a proper prefix of its successor is
-a shortened version, and sharp peaks of the length distribution mark length limits. Rules for emptiness, copied
-questions, refusals, broken endings and languages follow, over the distinct pairs only.
+Method: distinct answers, without the marks they end with, are range-partitioned and sorted by text; where the common prefix
+with the successor is the whole answer, it is a shortened version, and sharp peaks of the length distribution mark length
+limits. Either makes an answer truncated that no full stop closes, whatever its words. Rules for emptiness, copied questions, refusals,
+broken endings and languages follow, over the distinct pairs only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from folioflow.runtime import cut
 
@@ -43,6 +44,7 @@ CJK = re.compile(r"[㐀-鿿豈-﫿]")
 
 _MARKUP, _LABEL = re.compile(r"<[^<>\n]{0,40}>"), re.compile(rf"(?:^|(?<=[\s>*#(\"'“«]))(?:{'|'.join(sorted(LABELS, key=len, reverse=True))})\s*[:：]", re.I)
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+_STATED = re.compile(r"\d|(?<=[^\W\d_]\s)[A-ZÀ-Þ][\w-]{2,}")
 _LIST_ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])(\s.*)?$")
 
 
@@ -87,12 +89,17 @@ ALL_FUNCTION_WORDS = set().union(*_SETS.values())
 
 
 def is_refusal(answer: str) -> bool:
-    """Whether the answer only declines: a refusal in its first sentence, and at most a pointer elsewhere after it."""
+    """Whether the answer only declines: a refusal in its first sentence, then excuses or pointers elsewhere, of any length. Three
+    sentences that state something (a number or a name in it) and decline nothing make an answer of it."""
     text = unicodedata.normalize("NFKC", bare(answer)).replace("’", "'").strip()
     parts = [p for p in _SENTENCE.split(text) if p.strip()]
-    if not parts or len(parts) > 3 or len(text) > 400:
+    if not parts or not declines(parts[0]):
         return False
-    return bool(REFUSALS.search(parts[0]) or REFUSALS_ZH.search(parts[0]))
+    return sum(bool(_STATED.search(p)) and not declines(p) for p in parts[1:]) < 3
+
+
+def declines(sentence: str) -> bool:
+    return bool(REFUSALS.search(sentence) or REFUSALS_ZH.search(sentence))
 
 
 def breaks_off(answer: str) -> bool:
@@ -132,6 +139,12 @@ def breaks_off(answer: str) -> bool:
 _OPENERS = {"the", "a", "an", "our", "we", "each", "both", "no", "most", "between", "when", "unlike", "removing", "adding", "errors", "figure", "table", "with", "it", "for", "in", "on", "as", "by", "at", "after", "during", "under", "across", "der", "die", "das", "wir", "ohne", "für", "nach", "im", "bei", "trotz", "in", "le", "la", "les", "nous", "sans", "pour", "après", "dans", "en", "à", "el", "los", "las", "sin", "con", "para", "tras", "comparamos"}
 
 
+def _unclosed(answer: str) -> bool:
+    """Several words without an end of their own: no stop or closing mark, or dots that leave something out."""
+    text = answer.rstrip()
+    return (text[-1:] not in ".!?。！？)\"”" or text.endswith("...")) and len(_WORD.findall(text)) > 3
+
+
 def defect(question: str | None, answer: str | None, shortened: bool = False, at_limit: bool = False) -> str | None:
     """At most one defect, in the order empty, copies_question, refusal, truncated, other_language.
 
@@ -144,7 +157,7 @@ def defect(question: str | None, answer: str | None, shortened: bool = False, at
         return "copies_question"
     if is_refusal(answer):
         return "refusal"
-    if breaks_off(answer) or (shortened or at_limit) and answer.rstrip()[-1:] not in ".!?。！？…)\"”" and len(_WORD.findall(answer)) > 3:
+    if breaks_off(answer) or (shortened or at_limit) and _unclosed(answer):
         return "truncated"
     asked, given = language(question or "", 1), language(answer)
     if asked and given and asked != given and (len(_WORD.findall(answer)) >= 5 or given == "zh"):
@@ -163,39 +176,46 @@ def _defects(question: pd.Series, answer: pd.Series, shortened: pd.Series, at_li
     return pd.Series(out, dtype=object)
 
 
-def _text_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first = None
+#: Marks that may stand at the end of an answer, whole or shortened; they do not count when prefixes are compared.
+_END_MARKS = " \t\r\n.…-–—\"'”’»"
+
+
+def _core(answer: str) -> Column:
+    return F.rtrim(F.col(answer), F.lit(_END_MARKS))
+
+
+def _first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows and first is None:
-            first = batch.column("answer")[0].as_py()
-    if first is not None:
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "first": [first]}, schema=pa.schema([("part", pa.int32()), ("first", pa.string())]))
+        if batch.num_rows:
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "first": [batch.column("core")[0].as_py()]}, schema=pa.schema([("part", pa.int32()), ("first", pa.string())]))
+            return
 
 
 def shortened_answers(answers: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Distinct answers that are a proper prefix of another one. In sorted order every text between an answer and an
-    extension of it starts with it too, so the successor decides; across partitions, the next one's first text."""
+    """(core): distinct answers, without end marks, that are a proper prefix of another one. In sorted order every text between
+    an answer and an extension of it starts with it too, so the common prefix with the successor decides; across
+    partitions, that with the next one's first text."""
     n = partitions or int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = answers.select("answer").where("answer is not null").distinct()
-    ordered = cut(distinct.repartitionByRange(n, "answer").sortWithinPartitions("answer"))
+    distinct = answers.select(_core("answer").alias("core")).where("core <> ''").distinct()
+    ordered = cut(distinct.repartitionByRange(n, "core").sortWithinPartitions("core"))
     # one row a partition
-    edges = sorted((r["part"], r["first"]) for r in ordered.mapInArrow(_text_edges, "part int, first string").collect())
+    edges = sorted((r["part"], r["first"]) for r in ordered.mapInArrow(_first_texts, "part int, first string").collect())
     after = {p: q for (p, _), (_, q) in zip(edges, edges[1:])}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             out = []
-            for text in batch.column("answer").to_pylist():
+            for text in batch.column("core").to_pylist():
                 if held and text.startswith(held):
                     out.append(held)
                 held = text
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["answer"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["core"])
         beyond = after.get(TaskContext.get().partitionId())
         if held and beyond and beyond.startswith(held):
-            yield pa.RecordBatch.from_arrays([pa.array([held], pa.string())], names=["answer"])
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.string())], names=["core"])
 
-    return ordered.mapInArrow(scan, "answer string")
+    return ordered.mapInArrow(scan, "core string")
 
 
 def limit_lengths(answers: DataFrame, *, least: int = 40, times: float = 5.0) -> DataFrame:
@@ -208,13 +228,12 @@ def limit_lengths(answers: DataFrame, *, least: int = 40, times: float = 5.0) ->
 def defects(answers: DataFrame) -> DataFrame:
     """(answer_id, defect) of the defective pairs among rows with ``error`` null.
 
-    The prefix search and the length peaks run over distinct answers; their findings come back by a join on the answer's
-    hash, so that only the few shortened answers are shuffled against the table. Repeated rows count each; an empty table gives
+    The prefix search and the length peaks run over distinct answers; their findings come back by a join on a hash of the answer, so that only the few shortened answers are shuffled against the table. Repeated rows count each; an empty table gives
     no rows.
     """
     valid = answers.where("error is null").select("answer_id", "question", "answer")
-    short = shortened_answers(valid).select(F.xxhash64("answer").alias("h"), F.lit(True).alias("shortened")).distinct()
+    short = shortened_answers(valid).select(F.xxhash64("core").alias("h"), F.lit(True).alias("shortened")).distinct()
     limits = limit_lengths(valid).withColumn("at_limit", F.lit(True))
-    marked = valid.withColumn("h", F.xxhash64("answer")).withColumn("n_chars", F.length("answer")).join(short, "h", "left").join(limits, "n_chars", "left")
+    marked = valid.withColumn("h", F.xxhash64(_core("answer"))).withColumn("n_chars", F.length("answer")).join(short, "h", "left").join(limits, "n_chars", "left")
     false = F.lit(False)
     return marked.select("answer_id", _defects("question", "answer", F.coalesce("shortened", false), F.coalesce("at_limit", false)).alias("defect")).where("defect is not null")

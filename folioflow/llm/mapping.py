@@ -1,8 +1,10 @@
 """Problem 3: freely typed values mapped to the closest entry of a reference list.
 
 Method: one multi-pattern automaton over names, labels and keywords with their inflections finds embedded mentions; the
-longest non-overlapping match wins where only function words and adverbs remain around it. Remaining values go to a
-token-set similarity whose tokens compare by restricted edit distance, so that misspellings and shifted spaces still map.
+longest non-overlapping match wins where only function words and adverbs remain around it. Remaining values go to
+token-set similarity: the share of letters of the value and of a phrase that stand in tokens both have, in any order, where tokens compare
+by restricted edit distance. Values whose spaces have moved are compared as one token. A value that opens with another letter than
+the phrase is taken for a misspelling only where the table shows it: it must be ten times rarer than the phrase it stands for.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from folioflow.runtime import bounded_rows
 MAX_ENTRIES = 5000
 #: Distinct values that a Python worker remembers.
 MEMO = 200_000
+#: How many times a phrase must occur beside a value that differs from it in the first letter ("reaches", "breaches").
+RARER = 10
 
 # Words that may stand around a mention without changing it, and wordings no inflection rule yields.
 FILLERS = {"is", "was", "are", "were", "be", "been", "being", "has", "have", "had", "a", "an", "the", "it", "to", "can", "will", "does", "do", "makes", "make", "made"}
@@ -111,11 +115,22 @@ def _letters(text: str) -> int:
     return bits
 
 
+def tolerated(size: int) -> int:
+    """Edits that a text of ``size`` letters may have: none under three, where any would make another word."""
+    return 0 if size < 3 else 1 if size <= 7 else 2 if size <= 13 else 3
+
+
+def _opens_alike(a: str, b: str) -> bool:
+    return a[:1] == b[:1] or a[:2] == b[1::-1]
+
+
 class Mapper:
-    """Values -> entry id, 0 where none fits. ``entries``: (id, name, label, keywords)."""
+    """Values -> entry id, 0 where none fits. ``entries``: (id, name, label, keywords); ``extra``: squeezed values known to be
+    misspellings -> id."""
 
-    def __init__(self, entries: list[tuple[int, str, str | None, list[str] | None]]):
+    def __init__(self, entries: list[tuple[int, str, str | None, list[str] | None]], extra: dict[str, int] | None = None):
         self.phrase_of: dict[str, int] = {}
+        self.extra = extra or {}
         for id_, name, label, keywords in entries:
             for p in phrases(name, label, keywords):
                 self.phrase_of.setdefault(p, id_)
@@ -124,17 +139,22 @@ class Mapper:
             self.automaton.add_word(f" {p} ", (len(p), id_))
         if self.phrase_of:
             self.automaton.make_automaton()
-        # squeezed forms for the similarity step, with the openings that inflected wordings take
+        # tokens of all phrases by length, and the phrases of each token
+        self.phrases_with: dict[str, list[tuple[tuple[str, ...], int]]] = {}
+        for p, id_ in self.phrase_of.items():
+            tokens = tuple(p.split())
+            for t in dict.fromkeys(tokens):
+                self.phrases_with.setdefault(t, []).append((tokens, id_))
+        self.tokens = _by_length(self.phrases_with)
+        # squeezed forms for values whose spaces have moved, with the openings that inflected wordings take
         self.squeezed: dict[str, int] = {}
         for p, id_ in self.phrase_of.items():
             last = p.rpartition(" ")[2]
             openings = ("", "is", "was", "a", "an", "isa", "isan") if last == "of" else ("", "is", "was") if " " in p and last in PARTICLES else ("",)
             for opening in openings:
                 self.squeezed.setdefault(opening + p.replace(" ", ""), id_)
-        self.by_length: dict[int, list[tuple[str, int]]] = {}
-        for s in self.squeezed:
-            if s.isascii():
-                self.by_length.setdefault(len(s), []).append((s, _letters(s)))
+        self.by_length = _by_length(self.squeezed)
+        self.near = lru_cache(MEMO)(self._near)
         self.map = lru_cache(MEMO)(self._map)
 
     def _mention(self, words: list[str]) -> int:
@@ -143,35 +163,47 @@ class Mapper:
         found = sorted(((size, end - size, id_) for end, (size, id_) in self.automaton.iter(text)), key=lambda x: (-x[0], x[1]))
         for size, start, id_ in found:
             rest = (text[:start] + " " + text[start + size :]).split()
-            if all(w in FILLERS or w in ADVERBS or w.endswith("ly") and len(w) > 4 for w in rest):
+            if all(w in FILLERS or is_adverb(w) for w in rest):
                 return id_
         return 0
 
+    def _near(self, token: str) -> dict[str, int]:
+        """Tokens of phrases within the tolerated edits of ``token`` -> number of edits."""
+        return dict(_within(token, self.tokens, tolerated(len(token))))
+
+    def _token_set(self, words: list[str]) -> tuple[int, int]:
+        """(letters that differ, entry) of the most similar phrase as sets of tokens; fillers of the value count in ties only."""
+        words = list(dict.fromkeys(words))
+        near = {w: self.near(w) for w in words}
+        size = sum(map(len, words))
+        best = (size + 1, 0, 0)
+        for phrase, id_ in dict.fromkeys(x for w in words for t in near[w] for x in self.phrases_with[t]):
+            cost, free = 0, list(words)
+            for t in phrase:
+                d, w = min(((near[w][t], w) for w in free if t in near[w]), default=(len(t), None))
+                cost += d
+                if w is not None:
+                    free.remove(w)
+            cost += sum(len(w) for w in free if w not in FILLERS)
+            best = min(best, (cost, len(free), id_))
+        return (best[0], best[2]) if best[0] <= tolerated(size) else (size + 1, 0)
+
     def _similar(self, words: list[str]) -> int:
-        words = [w for w in words if w not in ADVERBS and not (w.endswith("ly") and len(w) > 4)] or words
+        words = [w for w in words if not is_adverb(w)] or words
         text = "".join(words)
+        apart = self._token_set(words)
+        if apart[0] <= 1 and apart[1]:
+            return apart[1]
         for adverb in ADVERBS:
-            if text.startswith(adverb) and len(text) > len(adverb) + 2:
-                shorter = text[len(adverb) :]
-                if (hit := self._closest(shorter)) != 0:
-                    return hit
-        return self._closest(text)
+            if text.startswith(adverb) and len(text) > len(adverb) + 2 and (hit := self._closest(text[len(adverb) :])[1]):
+                return hit
+        return min(apart, self._closest(text))[1] or self.extra.get(text, 0)
 
-    def _closest(self, text: str) -> int:
+    def _closest(self, text: str) -> tuple[int, int]:
+        """(edits, entry) of the nearest squeezed phrase."""
         if (hit := self.squeezed.get(text)) is not None:
-            return hit
-        if not text.isascii() or not text.isalpha() or len(text) < 3:
-            return 0
-        most = 1 if len(text) <= 7 else 2 if len(text) <= 13 else 3
-        best, own = (most + 1, 0), _letters(text)
-        for length in range(len(text) - most, len(text) + most + 1):
-            for s, letters in self.by_length.get(length, ()):
-                if (own & ~letters).bit_count() > most or (letters & ~own).bit_count() > most or s[0] != text[0] and s[:2] != text[1::-1]:
-                    continue
-                d = edit_distance(text, s, min(best[0], most))
-                if d <= most:
-                    best = min(best, (d, self.squeezed[s]))
-        return best[1] if best[0] <= most else 0
+            return 0, hit
+        return min(((d, self.squeezed[s]) for s, d in _within(text, self.by_length, tolerated(len(text)))), default=(len(text) + 1, 0))
 
     def _map(self, value: str) -> int:
         words = plain(value).split()
@@ -180,6 +212,54 @@ class Mapper:
         return self._mention(words) or self._similar(words)
 
 
+def is_adverb(word: str) -> bool:
+    return word in ADVERBS or word.endswith("ly") and len(word) > 4
+
+
+def _by_length(texts) -> dict[int, list[tuple[str, int]]]:
+    out: dict[int, list[tuple[str, int]]] = {}
+    for s in texts:
+        out.setdefault(len(s), []).append((s, _letters(s)))
+    return out
+
+
+def _within(text: str, known: dict[int, list[tuple[str, int]]], most: int):
+    """(known text, edits) of those within ``most`` edits that open alike."""
+    own = _letters(text)
+    for length in range(len(text) - most, len(text) + most + 1):
+        for s, letters in known.get(length, ()):
+            if (own & ~letters).bit_count() > most or (letters & ~own).bit_count() > most or not _opens_alike(s, text):
+                continue
+            d = edit_distance(text, s, most)
+            if d <= most:
+                yield s, d
+
+
+def other_openings(squeezed: dict[str, int]) -> dict[str, str]:
+    """Values that differ from a phrase (of five letters or more) in the first letter only, dropped, changed or put in front of it -> the phrase."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    out: dict[str, str] = {}
+    for s in sorted(squeezed):
+        if len(s) >= 5 and s.isascii():
+            for v in (s[1:], *(c + s[1:] for c in letters), *(c + s for c in letters)):
+                if v not in squeezed:
+                    out.setdefault(v, s)
+    return out
+
+
+def misspelt_openings(df: DataFrame, value: str, entries: list[tuple]) -> dict[str, int]:
+    """The values of ``df`` that differ from a phrase in the first letter and are ``RARER`` times rarer -> entry. Counted by one
+    aggregation over all rows; what comes back is at most 53 rows a phrase of the (bounded) reference list."""
+    mapper = Mapper(entries)
+    doubtful = other_openings(mapper.squeezed)
+    if not doubtful:
+        return {}
+    wanted = df.sparkSession.createDataFrame([(x,) for x in {*doubtful, *doubtful.values()}], "s string")
+    squeezed = df.select(F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]+", "")).alias("s"))
+    counts = {r["s"]: r["n"] for r in squeezed.join(F.broadcast(wanted), "s", "left_semi").groupBy("s").agg(F.count("*").alias("n")).collect()}
+    return {v: mapper.squeezed[s] for v, s in doubtful.items() if v in counts and counts[v] * RARER <= counts.get(s, 0)}
+
+
 def reference_entries(relation_types: DataFrame, limit: int = MAX_ENTRIES) -> list[tuple]:
     """The reference list on the driver; refused above ``limit`` entries."""
     rows = bounded_rows(relation_types.select("relation_id", "std_relation", "label_zh", "keywords"), limit, "the reference list")
@@ -189,23 +269,23 @@ def reference_entries(relation_types: DataFrame, limit: int = MAX_ENTRIES) -> li
 _MAPPERS: dict[tuple, Mapper] = {}
 
 
-def _mapper(key: tuple) -> Mapper:
-    if key not in _MAPPERS:
+def _mapper(key: tuple, extra: tuple) -> Mapper:
+    if (key, extra) not in _MAPPERS:
         _MAPPERS.clear()
-        _MAPPERS[key] = Mapper([(a, b, c, list(d)) for a, b, c, d in key])
-    return _MAPPERS[key]
+        _MAPPERS[key, extra] = Mapper([(a, b, c, list(d)) for a, b, c, d in key], dict(extra))
+    return _MAPPERS[key, extra]
 
 
-def map_values(df: DataFrame, value: str, entries: list[tuple], output: str = "entry_id") -> DataFrame:
+def map_values(df: DataFrame, value: str, entries: list[tuple], output: str = "entry_id", extra: dict[str, int] | None = None) -> DataFrame:
     """``df`` plus ``output``: the entry of ``value``, 0 where none fits, null where the value is null or blank.
 
     There is no shuffle: each Arrow batch maps its distinct values, and a worker remembers what it mapped.
     """
-    key = tuple((a, b, c, tuple(d or ())) for a, b, c, d in entries)
+    key, also = tuple((a, b, c, tuple(d or ())) for a, b, c, d in entries), tuple(sorted((extra or {}).items()))
 
     @F.pandas_udf("int")
     def mapped(values: pd.Series) -> pd.Series:
-        mapper = _mapper(key)
+        mapper = _mapper(key, also)
         codes, distinct = pd.factorize(values)
         done = [mapper.map(x) for x in distinct] + [None]
         return pd.Series([done[i] for i in codes], dtype="Int32")
@@ -217,4 +297,4 @@ def map_relations(triples: DataFrame, relation_types: DataFrame) -> DataFrame:
     """(triple_id, relation, relation_id) of the triples whose relation is not blank and not already canonical."""
     entries = reference_entries(relation_types)
     free = triples.select("triple_id", "relation").where(F.col("relation").rlike(r"[^\s\p{Z}]") & ~F.col("relation").isin([e[1] for e in entries]))
-    return map_values(free, "relation", entries, "relation_id")
+    return map_values(free, "relation", entries, "relation_id", misspelt_openings(triples, "relation", entries))

@@ -220,10 +220,10 @@ def test_shortened_answers_against_brute_force(spark):
     r = random.Random(5)
     texts = ["".join(r.choices("ab ", k=r.randint(0, 9))) for _ in range(400)] + [None, "", "x" * 50000, "x" * 49999]
     df = spark.createDataFrame([(t,) for t in texts], "answer string")
-    u = {t for t in texts if t}
+    u = {t.rstrip() for t in texts if t and t.strip()}
     expected = sorted(a for a in u if any(b != a and b.startswith(a) for b in u))
     for n in (1, 4, 9):
-        assert sorted(x["answer"] for x in defects.shortened_answers(df, n).collect()) == expected
+        assert sorted(x["core"] for x in defects.shortened_answers(df, n).collect()) == expected
 
 
 def test_length_limits(spark):
