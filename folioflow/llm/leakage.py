@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from folioflow.runtime import bounded_rows
-
-#: Consecutive words that count as a leak, and the largest evaluation set that is shipped to the executors.
+#: Consecutive words that count as a leak, and the largest part of the evaluation set that is sent out at once.
 WINDOW, MAX_ITEMS = 10, 100_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -62,16 +61,31 @@ class Windows:
 _CACHE: dict[tuple, Windows] = {}
 
 
+def item_blocks(items: DataFrame, size: int) -> Iterator[tuple]:
+    """The items in blocks of at most ``size``, in the order of their ids."""
+    block: list[tuple[int, str]] = []
+    for r in items.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text").toLocalIterator():
+        if len(block) == size:
+            yield tuple(block)
+            block = []
+        block.append((r[0], r[1]))
+    yield tuple(block)
+
+
 def leaks(documents: DataFrame, items: DataFrame, *, window: int = WINDOW, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id, start_char, end_char, leaked_words), one row per document and item of which ``window``
     consecutive words stand in the document.
 
-    Null texts, and items with fewer words than the window, give no rows. Repeated documents count each. The item list is refused
-    above ``max_items`` rows; the corpus itself is scanned in place, without a shuffle. Offsets are characters of the
-    original text, null in the rare text whose lower-cased form has another length.
+    Null texts, and items with fewer words than the window, give no rows. Repeated documents count each. The corpus is
+    scanned in place, without a shuffle, once for each ``max_items`` items; the result is that of one automaton over all (an item
+    id that stands in several rows is found once for each). Offsets are characters of the original text, null in the rare text
+    whose lower-cased form has another length.
     """
-    rows = bounded_rows(items.select("item_id", "text"), max_items, "the evaluation set")
-    key = tuple(sorted((r[0], r[1] or "") for r in rows if r[0] is not None))
+    found = [_scan(documents, block, window) for block in item_blocks(items, max_items)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scan(documents: DataFrame, key: tuple, window: int) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast((window, key))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

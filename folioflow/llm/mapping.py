@@ -17,9 +17,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from folioflow.runtime import bounded_rows
-
-#: Largest reference list that is broadcast with the operator.
+#: Largest part of the reference list that is sent out at once.
 MAX_ENTRIES = 5000
 #: Distinct values that a Python worker remembers.
 MEMO = 200_000
@@ -157,26 +155,26 @@ class Mapper:
         self.near = lru_cache(MEMO)(self._near)
         self.map = lru_cache(MEMO)(self._map)
 
-    def _mention(self, words: list[str]) -> int:
-        """The longest mention with nothing but fillers and adverbs around it."""
+    def _mention(self, words: list[str]) -> tuple[int, int, int] | None:
+        """(-letters, place, entry) of the longest mention with nothing but fillers and adverbs around it."""
         text = " " + " ".join(words) + " "
         found = sorted(((size, end - size, id_) for end, (size, id_) in self.automaton.iter(text)), key=lambda x: (-x[0], x[1]))
         for size, start, id_ in found:
             rest = (text[:start] + " " + text[start + size :]).split()
             if all(w in FILLERS or is_adverb(w) for w in rest):
-                return id_
-        return 0
+                return -size, start, id_
+        return None
 
     def _near(self, token: str) -> dict[str, int]:
         """Tokens of phrases within the tolerated edits of ``token`` -> number of edits."""
         return dict(_within(token, self.tokens, tolerated(len(token))))
 
-    def _token_set(self, words: list[str]) -> tuple[int, int]:
-        """(letters that differ, entry) of the most similar phrase as sets of tokens; fillers of the value count in ties only."""
+    def _token_set(self, words: list[str]) -> tuple[int, int, int] | None:
+        """(letters that differ, fillers left, entry) of the most similar phrase as sets of tokens; fillers of the value count in ties only."""
         words = list(dict.fromkeys(words))
         near = {w: self.near(w) for w in words}
         size = sum(map(len, words))
-        best = (size + 1, 0, 0)
+        best = None
         for phrase, id_ in dict.fromkeys(x for w in words for t in near[w] for x in self.phrases_with[t]):
             cost, free = 0, list(words)
             for t in phrase:
@@ -185,31 +183,40 @@ class Mapper:
                 if w is not None:
                     free.remove(w)
             cost += sum(len(w) for w in free if w not in FILLERS)
-            best = min(best, (cost, len(free), id_))
-        return (best[0], best[2]) if best[0] <= tolerated(size) else (size + 1, 0)
+            if cost <= tolerated(size):
+                best = min(best or (cost, len(free), id_), (cost, len(free), id_))
+        return best
+
+    def _closest(self, text: str) -> tuple[int, int, int] | None:
+        """(edits, 0, entry) of the nearest squeezed phrase."""
+        if (hit := self.squeezed.get(text)) is not None:
+            return 0, 0, hit
+        return min(((d, 0, self.squeezed[s]) for s, d in _within(text, self.by_length, tolerated(len(text)))), default=None)
 
-    def _similar(self, words: list[str]) -> int:
+    def ranked(self, value: str) -> tuple[int, int, int, int] | None:
+        """(tier, ..., entry), the smaller the better, so that results over parts of a reference list can be put together: a mention,
+        near-equal tokens, a phrase behind an adverb without space, other similarity, a first letter that the table corrects."""
+        words = plain(value).split()
+        if not words or not self.phrase_of:
+            return None
+        if (hit := self._mention(words)) is not None:
+            return 0, *hit
         words = [w for w in words if not is_adverb(w)] or words
         text = "".join(words)
         apart = self._token_set(words)
-        if apart[0] <= 1 and apart[1]:
-            return apart[1]
-        for adverb in ADVERBS:
-            if text.startswith(adverb) and len(text) > len(adverb) + 2 and (hit := self._closest(text[len(adverb) :])[1]):
-                return hit
-        return min(apart, self._closest(text))[1] or self.extra.get(text, 0)
-
-    def _closest(self, text: str) -> tuple[int, int]:
-        """(edits, entry) of the nearest squeezed phrase."""
-        if (hit := self.squeezed.get(text)) is not None:
-            return 0, hit
-        return min(((d, self.squeezed[s]) for s, d in _within(text, self.by_length, tolerated(len(text)))), default=(len(text) + 1, 0))
+        if apart is not None and apart[0] <= 1:
+            return 1, *apart
+        behind = [x for a in ADVERBS if text.startswith(a) and len(text) > len(a) + 2 and (x := self._closest(text[len(a) :]))]
+        if behind:
+            return 2, *min(behind)
+        similar = [x for x in (apart, self._closest(text)) if x is not None]
+        if similar:
+            return 3, *min(similar)
+        return (4, 0, 0, self.extra[text]) if text in self.extra else None
 
     def _map(self, value: str) -> int:
-        words = plain(value).split()
-        if not words or not self.phrase_of:
-            return 0
-        return self._mention(words) or self._similar(words)
+        hit = self.ranked(value)
+        return hit[-1] if hit else 0
 
 
 def is_adverb(word: str) -> bool:
@@ -260,10 +267,15 @@ def misspelt_openings(df: DataFrame, value: str, entries: list[tuple]) -> dict[s
     return {v: mapper.squeezed[s] for v, s in doubtful.items() if v in counts and counts[v] * RARER <= counts.get(s, 0)}
 
 
-def reference_entries(relation_types: DataFrame, limit: int = MAX_ENTRIES) -> list[tuple]:
-    """The reference list on the driver; refused above ``limit`` entries."""
-    rows = bounded_rows(relation_types.select("relation_id", "std_relation", "label_zh", "keywords"), limit, "the reference list")
-    return sorted((r[0], r[1], r[2], r[3]) for r in rows if r[0] is not None and r[1] is not None)
+def reference_blocks(relation_types: DataFrame, size: int = MAX_ENTRIES) -> list[list[tuple]]:
+    """The reference list in blocks of ``size`` entries by id, each small enough to be sent out."""
+    named = relation_types.where("relation_id is not null and std_relation is not null").select("relation_id", "std_relation", "label_zh", "keywords")
+    blocks: list[list[tuple]] = [[]]
+    for r in named.orderBy("relation_id").toLocalIterator():
+        if len(blocks[-1]) == size:
+            blocks.append([])
+        blocks[-1].append((r[0], r[1], r[2], r[3]))
+    return blocks
 
 
 _MAPPERS: dict[tuple, Mapper] = {}
@@ -276,12 +288,9 @@ def _mapper(key: tuple, extra: tuple) -> Mapper:
     return _MAPPERS[key, extra]
 
 
-def map_values(df: DataFrame, value: str, entries: list[tuple], output: str = "entry_id", extra: dict[str, int] | None = None) -> DataFrame:
-    """``df`` plus ``output``: the entry of ``value``, 0 where none fits, null where the value is null or blank.
-
-    There is no shuffle: each Arrow batch maps its distinct values, and a worker remembers what it mapped.
-    """
-    key, also = tuple((a, b, c, tuple(d or ())) for a, b, c, d in entries), tuple(sorted((extra or {}).items()))
+def _mapping(entries: list[tuple], extra: dict[str, int], whole: bool):
+    """The mapping of one block of entries as a column function: the entry, or (not ``whole``) the rank that ends with it."""
+    key, also = tuple((a, b, c, tuple(d or ())) for a, b, c, d in entries), tuple(sorted(extra.items()))
 
     @F.pandas_udf("int")
     def mapped(values: pd.Series) -> pd.Series:
@@ -290,11 +299,36 @@ def map_values(df: DataFrame, value: str, entries: list[tuple], output: str = "e
         done = [mapper.map(x) for x in distinct] + [None]
         return pd.Series([done[i] for i in codes], dtype="Int32")
 
-    return df.withColumn(output, mapped(F.when(F.col(value).rlike(r"[^\s\p{Z}]"), F.col(value))))
+    @F.pandas_udf("array<int>")
+    def ranked(values: pd.Series) -> pd.Series:
+        mapper = _mapper(key, also)
+        codes, distinct = pd.factorize(values)
+        done = [mapper.ranked(x) for x in distinct] + [None]
+        return pd.Series([done[i] for i in codes], dtype=object)
+
+    return mapped if whole else ranked
+
+
+def map_values(df: DataFrame, value: str, blocks: list[list[tuple]], output: str = "entry_id", extra: list[dict[str, int]] | None = None) -> DataFrame:
+    """``df`` plus ``output``: the entry of ``value``, 0 where none fits, null where the value is null or blank.
+
+    There is no shuffle: each Arrow batch maps its distinct values, and a worker remembers what it mapped. A list of several
+    blocks is met block by block, and the best rank over all of them decides, as one list would.
+    """
+    extra = extra or [{} for _ in blocks]
+    given = F.when(F.col(value).rlike(r"[^\s\p{Z}]"), F.col(value))
+    if len(blocks) == 1:
+        return df.withColumn(output, _mapping(blocks[0], extra[0], True)(given))
+    best = F.array_min(F.filter(F.array(*(_mapping(b, e, False)(given) for b, e in zip(blocks, extra))), lambda r: r.isNotNull()))
+    return df.withColumn(output, F.when(given.isNotNull(), F.coalesce(F.element_at(best, -1), F.lit(0))))
 
 
-def map_relations(triples: DataFrame, relation_types: DataFrame) -> DataFrame:
+def map_relations(triples: DataFrame, relation_types: DataFrame, size: int = MAX_ENTRIES) -> DataFrame:
     """(triple_id, relation, relation_id) of the triples whose relation is not blank and not already canonical."""
-    entries = reference_entries(relation_types)
-    free = triples.select("triple_id", "relation").where(F.col("relation").rlike(r"[^\s\p{Z}]") & ~F.col("relation").isin([e[1] for e in entries]))
-    return map_values(free, "relation", entries, "relation_id", misspelt_openings(triples, "relation", entries))
+    blocks = reference_blocks(relation_types, size)
+    free = triples.select("triple_id", "relation").where(F.col("relation").rlike(r"[^\s\p{Z}]"))
+    if len(blocks) == 1:
+        free = free.where(~F.col("relation").isin([e[1] for e in blocks[0]]))
+    else:
+        free = free.join(relation_types.where("relation_id is not null").select(F.col("std_relation").alias("relation")).distinct(), "relation", "left_anti").select("triple_id", "relation")
+    return map_values(free, "relation", blocks, "relation_id", [misspelt_openings(triples, "relation", b) for b in blocks])

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from conftest import rows
-from folioflow.llm import defects, mapping
+from folioflow.llm import defects, leakage, mapping
 
 ENTRIES = [(1, "outperforms", "优于", ["surpass", "beat"]), (2, "evaluated_on", "评测于", ["test on", "assess on"]), (3, "achieves", "达到", ["reach", "attain"]), (4, "uses", "使用", ["employ", "use"])]
 
@@ -14,9 +14,9 @@ def test_token_sets_find_what_the_automaton_leaves():
     m = mapping.Mapper(ENTRIES)
     for value, id_ in {"outprforms": 1, "on evaluted": 2, "evaluated often onn": 2, "us3s": 4, "评侧于": 2, "assessed mostly oon": 2}.items():
         words = mapping.plain(value).split()
-        assert m._mention(words) == 0 and m.map(value) == id_, value
+        assert m._mention(words) is None and m.map(value) == id_, value
     off = mapping.Mapper(ENTRIES)
-    off._token_set = lambda words: (99, 0)
+    off._token_set = lambda words: None
     assert off.map("on evaluted") == 0 and off.map("outprforms") == 1  # without it, the order of words matters
 
 
@@ -29,6 +29,21 @@ def test_a_first_letter_is_a_misspelling_where_the_table_shows_it(spark):
     assert got["mploys"] == 0  # nothing in the table shows what it stands for
 
 
+def test_a_list_in_blocks_maps_as_one(spark, root):
+    from folioflow.runtime import table
+
+    triples, types = table(spark, root, "kg_triples"), table(spark, root, "relation_types")
+    assert rows(mapping.map_relations(triples, types, 5)) == rows(mapping.map_relations(triples, types))
+
+
+# --- 9: leakage -------------------------------------------------------------------------------------------------------
+def test_items_in_blocks_leak_as_one_set(spark, root):
+    from folioflow.runtime import table
+
+    documents, items = table(spark, root, "documents"), table(spark, root, "eval_items")
+    assert rows(leakage.leaks(documents, items, max_items=70)) == rows(leakage.leaks(documents, items)) != []
+
+
 # --- 6: defects -------------------------------------------------------------------------------------------------------
 def test_refusals_of_any_length():
     excuse = "The excerpts are short. They leave the matter open. Please ask the authors for it. "

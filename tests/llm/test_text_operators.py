@@ -144,8 +144,7 @@ def test_mapping_of_tables(spark):
     assert rows(mapping.map_relations(cluttered(t), types).select("triple_id", "relation_id")) == [(4, 1), (5, 1), (6, 0)]
     assert mapping.map_relations(t.limit(0), types).count() == 0
     assert rows(mapping.map_relations(t.where("triple_id = 4"), types.limit(0)).select("relation_id")) == [(0,)]
-    with pytest.raises(ValueError):
-        mapping.reference_entries(types, 2)
+    assert len(mapping.reference_blocks(types, 2)) == 3
 
 
 @settings(max_examples=100, deadline=None)
