@@ -1,10 +1,12 @@
 """That the method named for a problem is what finds its rows, and that no bound or switch drops any."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
 from conftest import rows
-from folioflow.llm import defects, leakage, mapping
+from folioflow.llm import defects, leakage, mapping, scans
 
 ENTRIES = [(1, "outperforms", "优于", ["surpass", "beat"]), (2, "evaluated_on", "评测于", ["test on", "assess on"]), (3, "achieves", "达到", ["reach", "attain"]), (4, "uses", "使用", ["employ", "use"])]
 
@@ -36,6 +38,34 @@ def test_a_list_in_blocks_maps_as_one(spark, root):
     assert rows(mapping.map_relations(triples, types, 5)) == rows(mapping.map_relations(triples, types))
 
 
+# --- 2: scans ---------------------------------------------------------------------------------------------------------
+def test_no_bound_changes_what_is_repaired(spark, root):
+    """Few filter bits and small buckets give what brute force over all counts gives."""
+    from folioflow.runtime import table
+
+    chunks = table(spark, root, "chunks")
+    texts = {r["chunk_id"]: r["text"] for r in chunks.where("text is not null and coalesce(content_type, '') <> 'table'").collect() if "\n" in r["text"]}
+    counts = Counter(w for r in chunks.where("text is not null").collect() for w in re.findall(r"[^\W\d_]{2,40}", r["text"].lower()))
+    counts = {w: n for w, n in counts.items() if n > 1}
+    model = scans.fitted(chunks.where("coalesce(content_type, '') <> 'table'"))
+    states = {i: scans.states_of(t, model) for i, t in texts.items()}
+    asked = {i: scans.questions(t, states[i]) for i, t in texts.items()}
+    words = scans.Words.of_corpus(counts, set().union(*(a[0] for a in asked.values())))
+    expected = sorted(((i, *scans.analyse(t, states[i], words)) for i, t in texts.items()), key=str)
+    got = lambda **bounds: sorted(((r["chunk_id"], r["kinds"], r["text"].split("\n\n")) for r in scans.repaired(chunks, **bounds).collect()), key=str)
+    assert any("misread" in k for _, k, _ in expected)
+    assert got() == got(bits=1 << 15, bucket_chars=3000) == [(i, k, "\n\n".join(p).split("\n\n")) for i, k, p in expected]
+
+
+def test_a_rare_word_stays_known_in_a_large_corpus(spark):
+    """A correction seen a few times counts however many other words there are."""
+    common = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(100))
+    rows_ = [(i, "text", common) for i in range(400)] + [(1000 + i, "text", "evaluation matters") for i in range(3)] + [(2000, "text", "the long\nevaluatiOn evaluatlon of\nall")]
+    for n in (10, 400):
+        chunks = spark.createDataFrame([r for r in rows_ if r[0] < n or r[0] >= 1000], "chunk_id long, content_type string, text string")
+        assert rows(scans.damage(chunks)) == [(2000, "misread")]
+
+
 # --- 9: leakage -------------------------------------------------------------------------------------------------------
 def test_items_in_blocks_leak_as_one_set(spark, root):
     from folioflow.runtime import table

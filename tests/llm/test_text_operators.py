@@ -94,11 +94,13 @@ def test_masks_cover_every_pair_within_the_threshold(n, seed):
 
 
 # --- 2: scans -----------------------------------------------------------------------------------------------------
-WORDS = scans.Words(Counter({w: 400 for w in "the model predicts every cluster of annotations on code search before training ends and reaches accuracy with throughput from layers when tax onomy benchmark side leaderboard taxonomy fine grained".split()}))
+COUNTS = Counter({w: 400 for w in "the model predicts every cluster of annotations on code search before training ends and reaches accuracy with throughput from layers when tax onomy benchmark side leaderboard taxonomy fine grained".split()})
 
 
 def _kinds(text):
-    return scans.analyse(text, scans.LineModel(), WORDS)
+    model = scans.LineModel()
+    states = scans.states_of(text, model)
+    return scans.analyse(text, states, scans.Words.of_corpus(COUNTS, scans.questions(text, states)[0]))
 
 
 def test_damage_and_repair():
