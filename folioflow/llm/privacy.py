@@ -16,9 +16,9 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from folioflow.runtime import bounded_rows, cut
+from folioflow.runtime import cut
 
-#: Disclosure threshold in bits, least number of identity contexts a term must be seen in, and largest lexicon sent out.
+#: Disclosure threshold in bits, least number of identity contexts a term must be seen in, and largest lexicon sent out whole.
 MIN_BITS, MIN_SUPPORT, MAX_TERMS = 2.0, 3, 200_000
 
 # Words and marks that introduce a person, and particles inside names.
@@ -31,6 +31,8 @@ CUES = (
 )
 PARTICLE = r"(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|el|ter|ten|zu|y|[A-ZÀ-ÞĀ-Ž]\.)"
 CAPITALISED = r"[A-ZÀ-ÖØ-ÞĀ-Ž](?:[a-zß-öø-ÿā-ž]+|[A-ZÀ-ÖØ-ÞĀ-Ž]+)(?:['’-][A-ZÀ-ÖØ-ÞĀ-Ž][A-Za-zÀ-ÖØ-öø-ÿĀ-ž]*)*"
+#: A superset of what may be a term: every capitalised piece of a word.
+_CAPITALISED_PIECE = r"[A-ZÀ-ÖØ-ÞĀ-Ž][A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+"
 CUE_WORDS = rf"(?:{TITLES}|Contact|Contacto|Kontakt|Name|Participant|Annotator|Reviewer|Joindre|Agradecemos|Parcel|Signed|Attention|Please)"
 PERSON = rf"(?!{CUE_WORDS}[ .:]){CAPITALISED}(?: {PARTICLE})* {CAPITALISED}(?![\w-])"
 NEVER = {"The", "This", "That", "These", "Those", "A", "An", "In", "On", "At", "By", "For", "With", "We", "Our", "It", "Most", "Each", "Both", "No", "When", "While", "After", "Before", "Between", "Unlike", "Table", "Figure", "Section", "Nous", "Les", "Le", "La", "Los", "El", "Las", "Die", "Der", "Das", "Wir", "Sans", "Sin", "Ohne", "Monte", "Markov"}
@@ -96,21 +98,21 @@ def disclosure(documents: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(totals)).select("place", "term", "seen", "cued", F.when(F.col("cued") > 0, bits).alias("bits"))
 
 
-def lexicon(documents: DataFrame, *, min_bits: float = MIN_BITS, min_support: int = MIN_SUPPORT, max_terms: int = MAX_TERMS) -> tuple[frozenset, frozenset]:
-    """Given names (openings that reveal a person), and closings that do not belong to names (common in pairs, rarely cued)."""
+def lexicon(documents: DataFrame, *, min_bits: float = MIN_BITS, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(list, term): given names (openings that reveal a person), and closings that do not belong to names (common in pairs,
+    rarely cued)."""
     scored = disclosure(documents)
     names = scored.where((F.col("place") == "opening") & (F.col("cued") >= min_support) & (F.col("bits") >= min_bits) & (F.col("cued") >= 0.3 * F.col("seen")))
     common = scored.where((F.col("place") == "closing") & (F.col("seen") >= 20) & (F.col("cued") < 0.2 * F.col("seen")))
-    rows = bounded_rows(names.select("place", "term").unionByName(common.select("place", "term")), max_terms, "the disclosure lexicon")
-    return frozenset(r["term"] for r in rows if r["place"] == "opening"), frozenset(r["term"] for r in rows if r["place"] == "closing")
+    return names.select(F.lit("name").alias("list"), "term").unionByName(common.select(F.lit("common").alias("list"), "term"))
 
 
 _IDENTITY_JVM = rf"(?=[A-ZÀ-ÞĀ-Ž])(?<={CUES})[A-ZÀ-ÞĀ-Ž]|@[A-Za-z]|\d{{3}}[-. ]\d{{2,4}}[-. ]\d{{3,4}}"
 _INNER_JVM = r"(?<=[a-zà-ÿ,;] )[A-ZÀ-ÞĀ-Ž][a-zß-öø-ÿ]{3,}(?![\w-])"
 
 
-def disclosing_terms(documents: DataFrame, *, min_bits: float = 3.0, min_support: int = 5, max_terms: int = MAX_TERMS) -> frozenset:
-    """Capitalised terms inside sentences whose PMI with sentences of identity context is at least ``min_bits`` and that
+def disclosing_terms(documents: DataFrame, *, min_bits: float = 3.0, min_support: int = 5) -> DataFrame:
+    """(list, term): capitalised terms inside sentences whose PMI with sentences of identity context is at least ``min_bits`` and that
     are rarely seen elsewhere; the words that introduce persons are not terms."""
     sentence = documents.where("text is not null").select(F.explode(F.split("text", r"(?<=[.!?。！？])\s+|\n")).alias("s"))
     # the empty term stands for the sentence itself, so that one pass gives the totals too
@@ -119,8 +121,7 @@ def disclosing_terms(documents: DataFrame, *, min_bits: float = 3.0, min_support
     share = counts.where("term = ''").select((F.col("cued") / F.col("seen")).alias("share"))
     bits = F.log2(F.col("cued") / F.col("seen") / F.col("share"))
     kept = counts.where((F.col("term") != "") & (F.col("cued") >= min_support)).join(F.broadcast(share)).where((bits >= min_bits) & (F.col("cued") >= 0.8 * F.col("seen")))
-    rows = bounded_rows(kept.where(~F.col("term").rlike(rf"^{CUE_WORDS}$")).select("term"), max_terms, "the list of disclosing terms")
-    return frozenset(r["term"] for r in rows)
+    return kept.where(~F.col("term").rlike(rf"^{CUE_WORDS}$")).select(F.lit("term").alias("list"), "term")
 
 
 # What a text must hold before the recognisers of a kind are worth running; one automaton looks for all of it at once.
@@ -165,9 +166,10 @@ class Finder:
             self.signs.add_word(x, bits)
         self.signs.make_automaton()
 
-    def __call__(self, text: str) -> list[tuple[str, int, int]]:
-        """(kind, start, end) of the personal data in ``text``, without overlaps, in order."""
-        signs = 0
+    def __call__(self, text: str, names: frozenset = frozenset(), common: frozenset = frozenset()) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of the personal data in ``text``, without overlaps, in order; ``names`` and ``common`` are what the
+        lexicon has for this text, where it is not sent out whole."""
+        signs = _CUE if names else 0
         for _, bits in self.signs.iter(text):
             signs |= bits
         if signs & _SPACED:
@@ -203,10 +205,10 @@ class Finder:
                 for m in ADDRESS_ZH.finditer(text):
                     add("address", *m.span())
         if signs & _CUE or spans:
-            self._persons(text, spans, add)
+            self._persons(text, spans, add, self.names | names, self.common | common)
         return sorted(spans, key=lambda s: s[1])
 
-    def _persons(self, text: str, spans: list, add) -> None:
+    def _persons(self, text: str, spans: list, add, names: frozenset, common: frozenset) -> None:
         if not text.isascii():
             for m in NAME_ZH.finditer(text):
                 add("name", *m.span(1 if m[1] else 2))
@@ -218,10 +220,10 @@ class Finder:
             if a and (text[a - 1].isalnum() or text[a - 1] in "_.@'’-") and not (text[a - 1] == "." and _CUE_END.search(text, max(0, a - 24), a)):
                 continue
             first, last = m[0].split(" ")[0], m[0].split(" ")[-1]
-            if first in NEVER or last in NEVER or last.lower() in self.common:
+            if first in NEVER or last in NEVER or last.lower() in common:
                 continue
             # a cue before it, an identifier right after it, or another name joined by "and" or a comma is an identity context
-            revealed = opening(first) in self.names or _CUE_END.search(text, max(0, a - 48), a)
+            revealed = opening(first) in names or _CUE_END.search(text, max(0, a - 48), a)
             revealed = revealed or any(text[b : b + k].strip(" ,(<[\n") == "" and b + k in beside for k in range(1, 5))
             revealed = revealed or 0 <= last_end <= a and _FOLLOW.fullmatch(text[last_end:a])
             if revealed and add("name", a, b):
@@ -248,29 +250,57 @@ def redact(text: str, spans: list[tuple[str, int, int]], terms: frozenset = froz
     return "".join([*out, soften(text[at:])])
 
 
-def _apply(documents: DataFrame, make, schema: str, columns: list[str], known: tuple[frozenset, frozenset] | None) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast(known if known is not None else lexicon(documents))
+Known = dict[str, frozenset]
+_NO_TERMS: Known = {"name": frozenset(), "common": frozenset(), "term": frozenset()}
+
+
+def _apply(documents: DataFrame, terms: DataFrame | Known, make, schema: str, columns: list[str], max_terms: int = MAX_TERMS) -> DataFrame:
+    """Each text through the recognisers with its part of ``terms`` (list, term).
+
+    Up to ``max_terms`` terms go out whole. More are joined with the capitalised words of each document, whatever their number, and
+    each text gets those it holds; the result is the same.
+    """
+    whole, given = _NO_TERMS, documents.select("doc_id", "text")
+    if isinstance(terms, dict):
+        whole = {**_NO_TERMS, **terms}
+    else:
+        terms = cut(terms)
+        rows = terms.limit(max_terms + 1).collect()
+        if len(rows) <= max_terms:
+            whole = {k: frozenset(r["term"] for r in rows if r["list"] == k) for k in _NO_TERMS}
+        else:
+            held = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_CAPITALISED_PIECE), F.lit(0)), lambda w: F.lower(w))))
+            # repeated ids have their texts told apart by a hash
+            given = given.withColumn("h", F.xxhash64("text"))
+            own = given.select("doc_id", "h", held.alias("low")).distinct().join(terms.withColumn("low", F.lower("term")), "low").groupBy("doc_id", "h").agg(F.collect_set(F.struct("list", "term")).alias("own"))
+            given = given.join(own, ["doc_id", "h"], "left").select("doc_id", "text", "own")
+    sent = documents.sparkSession.sparkContext.broadcast(whole)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(*sent.value)
+        every = sent.value
+        finder = Finder(every["name"], every["common"])
         for batch in batches:
-            memo: dict[str, list] = {}
+            memo: dict[str, tuple] = {}
             out = []
-            for id_, text in zip(batch["doc_id"], batch["text"]):
+            for id_, text, own in zip(batch["doc_id"], batch["text"], batch["own"] if "own" in batch else [None] * len(batch)):
                 if text is not None and text not in memo:
-                    memo[text] = finder(text)
-                out += make(id_, text, memo.get(text, []))
+                    mine = {k: frozenset(x["term"] for x in own if x["list"] == k) for k in _NO_TERMS} if own is not None else _NO_TERMS
+                    memo[text] = finder(text, mine["name"], mine["common"]), mine["term"] | every["term"]
+                out += make(id_, text, *memo.get(text, ([], frozenset())))
             yield pd.DataFrame(out, columns=columns)
 
-    return documents.select("doc_id", "text").mapInPandas(run, schema)
+    return given.mapInPandas(run, schema)
 
 
-def personal_data(documents: DataFrame, known: tuple[frozenset, frozenset] | None = None) -> DataFrame:
+def personal_data(documents: DataFrame, known: Known | None = None, max_terms: int = MAX_TERMS) -> DataFrame:
     """(doc_id, kind, found, start_char, end_char), one row per mention; null and blank texts have none."""
-    return _apply(documents.where("text is not null"), lambda i, t, s: [(i, k, t[a:b], a, b) for k, a, b in s], "doc_id long, kind string, found string, start_char int, end_char int", ["doc_id", "kind", "found", "start_char", "end_char"], known)
+    given = documents.where("text is not null")
+    mentions = lambda i, t, spans, _: [(i, k, t[a:b], a, b) for k, a, b in spans]
+    return _apply(given, lexicon(given) if known is None else known, mentions, "doc_id long, kind string, found string, start_char int, end_char int", ["doc_id", "kind", "found", "start_char", "end_char"], max_terms)
 
 
-def sanitised(documents: DataFrame, known: tuple[frozenset, frozenset] | None = None, terms: frozenset | None = None) -> DataFrame:
+def sanitised(documents: DataFrame, known: Known | None = None, max_terms: int = MAX_TERMS) -> DataFrame:
     """(doc_id, text, n_found): the text with typed placeholders and generalised terms; a null text stays null."""
-    terms = disclosing_terms(documents) if terms is None else terms
-    return _apply(documents, lambda i, t, s: [(i, None if t is None else redact(t, s, terms), len(s))], "doc_id long, text string, n_found int", ["doc_id", "text", "n_found"], known)
+    terms = lexicon(documents).unionByName(disclosing_terms(documents)) if known is None else known
+    rewritten = lambda i, t, spans, terms: [(i, None if t is None else redact(t, spans, terms), len(spans))]
+    return _apply(documents, terms, rewritten, "doc_id long, text string, n_found int", ["doc_id", "text", "n_found"], max_terms)

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 from conftest import rows
-from folioflow.llm import defects, leakage, mapping, scans
+from folioflow.llm import defects, leakage, mapping, privacy, scans
 
 ENTRIES = [(1, "outperforms", "优于", ["surpass", "beat"]), (2, "evaluated_on", "评测于", ["test on", "assess on"]), (3, "achieves", "达到", ["reach", "attain"]), (4, "uses", "使用", ["employ", "use"])]
 
@@ -110,3 +110,18 @@ def test_end_marks_do_not_hide_a_prefix(spark, n):
     core = {t.rstrip(" \t\r\n.…-–—\"'”’»") for t in texts} - {""}
     expected = sorted(a for a in core if any(b != a and b.startswith(a) for b in core))
     assert sorted(x["core"] for x in defects.shortened_answers(_answers(spark, texts), n).collect()) == expected
+
+
+# --- 10: privacy ------------------------------------------------------------------------------------------------------
+def test_a_lexicon_over_the_bound_finds_the_same(spark, root):
+    from folioflow.runtime import table
+
+    docs = table(spark, root, "documents")
+    assert rows(privacy.personal_data(docs, max_terms=0)) == rows(privacy.personal_data(docs)) != []
+    assert rows(privacy.sanitised(docs, max_terms=0)) == rows(privacy.sanitised(docs))
+
+
+def test_co_occurrence_reveals_names_no_cue_stands_before(spark):
+    d = spark.createDataFrame([(i, f"We thank Dr. Irene Halv{c}en for notes.") for i, c in enumerate("abcdef")] + [(7, "Later Irene Osk spoke to Graph Lab.")] + [(10 + i, "We saw Kuva Graph, then Boli Lab and again Mado Net here.") for i in range(40)], "doc_id long, text string")
+    names = lambda **k: {r["found"] for r in privacy.personal_data(d, **k).where("doc_id = 7").collect()}
+    assert names() == {"Irene Osk"} and names(known={}) == set()
