@@ -9,8 +9,9 @@ the similarity threshold implies is guaranteed to collide under one mask:
 * with ``m = g + 1`` common words in ``g`` blocks, one block holds two of them, and that pair of bits is a mask.
 
 The classic family (2^(r+1) - 1 dense masks) needs hundreds of tables at the radius of 14 to 20 bits that 0.7 means here; this one
-needs about 0.8 masks a word and keeps the guarantee. A parity sketch of 256 bits, whose Hamming distance never exceeds the
-true one, refuses most chance collisions inside the join; what is left is checked exactly.
+needs about 0.8 masks a word and keeps the guarantee. Buckets over a fixed size get two more bits by the same argument; what
+stays large, as a group of near copies does, is cut into cells. So no bucket grows with the collection. A parity sketch of 256 bits,
+whose Hamming distance never exceeds the true one, refuses most chance collisions inside the join; what is left is checked exactly.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from folioflow.runtime import cut
 
 #: Similarity as a fraction, least number of distinct words, slots of the frequency table (4 bytes each are broadcast,
 #: whatever the corpus holds), and the bucket size above which a mask gets two more bits.
-NUM, DEN, LEAST_WORDS, SLOTS, HOT = 7, 10, 20, 1 << 18, 8192
+NUM, DEN, LEAST_WORDS, SLOTS, HOT = 7, 10, 20, 1 << 18, 2048
+#: How often bits are added (each time a row becomes about twenty, which pays once), and most keys of large buckets that are sent
+#: out (8 bytes each; where there are more, the largest are, and the others stay as they are).
+DEPTH, HOT_KEYS = 1, 1 << 21
 #: Sizes at which a new level with twice the blocks begins.
 LEVELS = ((20, 8), (64, 16), (205, 32), (656, 64), (2100, 128), (6720, 256), (21504, 512))
 
@@ -98,8 +102,8 @@ class Masks:
                 break
             yield w, t, p, i, i + lag
 
-    def keys(self, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, text number, small, first position, second position, level) of all masks of all texts."""
+    def keys(self, hashes: np.ndarray, size: np.ndarray) -> "Rows":
+        """All masks of all texts."""
         word, text, pos = self.ordered(hashes, size)
         out = []
         for level, (low, g) in enumerate(LEVELS):
@@ -110,22 +114,87 @@ class Masks:
             length = np.where(own, self.prefix(size, g + 1, False), np.where(below, small_prefix, 0))
             take = pos < length[text]
             for w, t, p, i, j in self._pairs(word[take], text[take], pos[take], np.full(take.sum(), g)):
-                out.append((_mix(w[i], w[j], level + 1), t[i], (p[i] < small_prefix[t[i]]) & (p[j] < small_prefix[t[j]]), p[i], p[j], np.full(len(i), level)))
-        if not out:
-            return tuple(np.zeros(0, d) for d in (np.uint64, np.int64, bool, np.int64, np.int64, np.int64))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    def finer(self, hashes: np.ndarray, size: np.ndarray, key: np.ndarray, small: np.ndarray, first: np.ndarray, second: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, row number, small) with two more bits for rows of hot buckets: ``g + 3`` of the shared words are among the
-        rarest ``size - shared + g + 3``; without the two of the mask, ``g + 1`` are left in ``g`` blocks."""
-        blocks = np.array([g for _, g in LEVELS])[level]
+                small = (p[i] < small_prefix[t[i]]) & (p[j] < small_prefix[t[j]])
+                out.append(Rows(_mix(w[i], w[j], level + 1), t[i], small, np.full(len(i), level), np.minimum(self.seen(w[i]), self.seen(w[j])), np.stack([p[i], p[j]], 1)))
+        return Rows.joined(out, 2)
+
+    def seen(self, words: np.ndarray) -> np.ndarray:
+        """In how many texts each word can be at most: no bucket of a mask is larger than the rarest of its words allows."""
+        return self.counts[np.mod(words.view(np.int64), len(self.counts))]
+
+    def finer(self, hashes: np.ndarray, size: np.ndarray, rows: "Rows") -> tuple["Rows", "Rows"]:
+        """(rows with two more bits, rows that can have none) of rows in hot buckets.
+
+        With ``b`` bits in use, ``g + 1 + b`` of the shared words are among the rarest ``size - shared + g + 1 + b``; without
+        those of the mask, ``g + 1`` are left in ``g`` blocks. That takes as many shared words, which few bits of a short text have.
+        """
+        bits = rows.used.shape[1]
+        lows, blocks = (np.array([x[k] for x in LEVELS])[rows.level] for k in (0, 1))
+        can = _ceil(lows, self.num, self.den) >= blocks + 1 + bits
+        stay, rows, blocks = rows.where(~can), rows.where(can), blocks[can]
         word, text, pos = self.ordered(hashes, size)
-        small_prefix = self.prefix(size, blocks + 3, True)
-        take = (pos < self.prefix(size, blocks + 3, False)[text]) & (pos != first[text]) & (pos != second[text])
-        out = [(_mix(key[t[i]], _mix(w[i], w[j])), t[i], small[t[i]] & (p[i] < small_prefix[t[i]]) & (p[j] < small_prefix[t[j]])) for w, t, p, i, j in self._pairs(word[take], text[take], pos[take], blocks[text[take]])]
-        if not out:
-            return tuple(np.zeros(0, d) for d in (np.uint64, np.int64, bool))
-        return tuple(np.concatenate(x) for x in zip(*out))
+        begin, own = np.concatenate([[0], np.cumsum(size)[:-1]]), size[rows.text]
+        line = np.repeat(np.arange(len(own)), own)  # every row with all words of its text
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        w = word[begin[rows.text][line] + at] if len(line) else word[:0]
+        common = blocks + 1 + bits
+        small_prefix = self.prefix(own, common, True)
+        take = (at < self.prefix(own, common, False)[line]) & ~(at[:, None] == rows.used[line]).any(1)
+        out = []
+        for w, r, p, i, j in self._pairs(w[take], line[take], at[take], blocks[line[take]]):
+            k = r[i]
+            small = rows.small[k] & (p[i] < small_prefix[k]) & (p[j] < small_prefix[k])
+            bound = np.minimum(rows.bound[k], np.minimum(self.seen(w[i]), self.seen(w[j])))
+            out.append(Rows(_mix(rows.key[k], _mix(w[i], w[j])), rows.text[k], small, rows.level[k], bound, np.column_stack([rows.used[k], p[i], p[j]])))
+        return Rows.joined(out, bits + 2), stay
+
+    def all_keys(self, hashes: np.ndarray, size: np.ndarray, hot: list[np.ndarray]) -> list["Rows"]:
+        """The masks of all texts, with bits added ``len(hot)`` times for the keys that are hot then: those of the last step first."""
+        rows, settled = self.keys(hashes, size), []
+        for keys in hot:
+            large = _in(rows.key, keys)
+            settled.append(rows.where(~large))
+            rows, stay = self.finer(hashes, size, rows.where(large))
+            settled.append(stay)
+        return [rows, *settled]
+
+
+class Rows:
+    """Masks of texts as arrays: key, text number, whether it serves the smaller text of a pair, level, greatest possible size of
+    its bucket, and the positions in use."""
+
+    def __init__(self, key, text, small, level, bound, used):
+        self.key, self.text, self.small, self.level, self.bound, self.used = key, text, small, level, bound, used
+
+    def where(self, mask: np.ndarray) -> "Rows":
+        return Rows(*(x[mask] for x in (self.key, self.text, self.small, self.level, self.bound, self.used)))
+
+    @staticmethod
+    def joined(parts: list["Rows"], bits: int) -> "Rows":
+        if not parts:
+            return Rows(np.zeros(0, np.uint64), *(np.zeros(0, d) for d in (np.int64, bool, np.int64, np.int32)), np.zeros((0, bits), np.int64))
+        return Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "text", "small", "level", "bound", "used")))
+
+
+def _in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys stand in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def cells(rows: Rows, ids: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row number, role) of rows in buckets that no more bits divide: a bucket in ``n`` parts becomes ``n`` x ``n`` cells, in which
+    each smaller text of one part meets each text of another. Roles: 1 the smaller text, 2 the other, 3 both."""
+    n = parts[np.searchsorted(keys, rows.key)]
+    own = (_mix(ids.view(np.uint64), rows.key) % n.astype(np.uint64)).astype(np.int64)
+    line = np.repeat(np.arange(len(n)), n)
+    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    cell = lambda a, b: _mix(rows.key[line], a.astype(np.uint64), b + 1)
+    out = []
+    for role, key, take in ((1, cell(own[line], other), rows.small[line]), (2, cell(other, own[line]), np.ones(len(line), bool))):
+        out.append((key[take], line[take], np.full(take.sum(), role)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,13 +218,8 @@ _ROW = "key long, id long, meta long, s1 long, s2 long, s3 long, s4 long"
 _NAMES = ["key", "id", "meta", *_SKETCH]
 
 
-def _pack(size: np.ndarray, first: np.ndarray, second: np.ndarray, level: np.ndarray, small: np.ndarray) -> np.ndarray:
-    """Size, positions, level and role of a row in one 64-bit number, as every byte of a row is shuffled."""
-    return (size.astype(np.int64) << 44) | (first.astype(np.int64) << 24) | (second.astype(np.int64) << 4) | (level.astype(np.int64) << 1) | small.astype(np.int64)
-
-
 def _size(meta: str) -> Column:
-    return F.shiftrightunsigned(meta, 44)
+    return F.shiftrightunsigned(meta, 2)
 
 
 def _close(num: int, den: int) -> Column:
@@ -169,47 +233,71 @@ def _close(num: int, den: int) -> Column:
 
 def _collide(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Renamed columns keep the two sides one subplan, so that masks are made and shuffled once."""
-    x, y = rows.where(F.col("meta").bitwiseAND(1) == 1), rows.select(*(F.col(c).alias(f"y_{c}") for c in _NAMES))
+    role = lambda bit: F.col("meta").bitwiseAND(bit) != 0
+    x, y = rows.where(role(1)), rows.where(role(2)).select(*(F.col(c).alias(f"y_{c}") for c in _NAMES))
     return x.join(y, (F.col("key") == F.col("y_key")) & _close(num, den)).select(F.col("id").alias("a"), F.col("y_id").alias("b"))
 
 
-def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int = SLOTS, hot: int = HOT) -> DataFrame:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, hashes, sizes) of at most 2,000 texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            piece = batch.slice(at, 2000)
+            yield piece.column("id").to_numpy(), *_flat(piece.column("h"))
+
+
+def hot_keys(hashed: DataFrame, sent, hot: int, depth: int, most: int = HOT_KEYS) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(keys of buckets over ``hot`` rows after 0, 1, ... times of adding bits, keys and sizes of those left after the last).
+
+    Counted by aggregation with map-side sums, and only over masks all of whose words are in more than ``hot`` texts: others cannot be.
+    """
+    found: list[np.ndarray] = []
+    for _ in range(depth + 1):
+        known = hashed.sparkSession.sparkContext.broadcast(found)
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            masks = Masks(*sent.value)
+            for _, h, size in _pieces(batches):
+                parts = masks.all_keys(h, size, known.value)
+                rows = parts[0] if len(known.value) < depth else Rows.joined([Rows(p.key, p.text, p.small, p.level, p.bound, p.used[:, :0]) for p in parts], 0)
+                yield pa.RecordBatch.from_arrays([pa.array(rows.key[rows.bound > hot].view(np.int64))], names=["key"])
+
+        counts = hashed.mapInArrow(emit, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        large = counts.orderBy(F.desc("n"), "key").limit(most).toPandas()
+        keys = large["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        if len(found) == depth or not len(keys):
+            break
+        found.append(keys[order])
+    return found, (keys[order], large["n"].to_numpy(np.int64)[order])
+
+
+def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int = SLOTS, hot: int = HOT, depth: int = DEPTH) -> DataFrame:
     """(a, b), distinct, ``a`` the text with no more words: every pair at or above the threshold, and few others."""
-    spark = reps.sparkSession
-    sent = spark.sparkContext.broadcast((slot_counts(reps, slots), num, den))
+    context = reps.sparkSession.sparkContext
+    sent = context.broadcast((slot_counts(reps, slots), num, den))
     hashed = reps.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    found, (left, sizes) = hot_keys(hashed, sent, hot, depth)
+    known = context.broadcast((found, left, -(-sizes // hot)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = Masks(*sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
-                h, size = _flat(piece.column("h"))
-                key, text, small, first, second, level = masks.keys(h, size)
-                ids, sketch = piece.column("id").to_numpy(), parity_sketch(h, size)
-                columns = [key.view(np.int64), ids[text], _pack(size[text], first, second, level, small), *(x[text] for x in sketch)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
-
-    # the filter that joins on the key would add; stated here, all branches share one exchange
+        finer, last, parts = known.value
+        for ids, h, size in _pieces(batches):
+            sketch = parity_sketch(h, size)
+            for rows in masks.all_keys(h, size, finer):
+                large = _in(rows.key, last)
+                plain, cut_up = rows.where(~large), rows.where(large)
+                key, line, role = cells(cut_up, ids[cut_up.text], last, parts)
+                for k, text, r in ((plain.key, plain.text, np.where(plain.small, 3, 2)), (key, cut_up.text[line], role)):
+                    columns = [k.view(np.int64), ids[text], (size[text].astype(np.int64) << 2) | r, *(x[text] for x in sketch)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
+
+    # the filter that joins on the key would add; stated here, both sides share one exchange. No bucket is over ``hot`` rows
+    # (a cell: twice that), so the window, which leaves out texts that meet no other, holds little
     rows = hashed.mapInArrow(emit, _ROW).where("key is not null")
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    cold = _collide(counted.where(F.col("n") <= hot), num, den)
-
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = Masks(*sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                piece = batch.slice(at, 2000)
-                h, size = _flat(piece.column("h"))
-                column = {n: piece.column(n).to_numpy() for n in _NAMES}
-                meta = column["meta"]
-                first, second, level, small = (meta >> 24) & 0xFFFFF, (meta >> 4) & 0xFFFFF, (meta >> 1) & 7, (meta & 1).astype(bool)
-                key, row, role = masks.finer(h, size, column["key"].view(np.uint64), small, first, second, level)
-                columns = [key.view(np.int64), column["id"][row], _pack(size[row], first[row], second[row], level[row], role), *(column[s][row] for s in _SKETCH)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
-
-    finer = counted.where(F.col("n") > hot).drop("n").join(hashed, "id").select(*_NAMES, "h").mapInArrow(refine, _ROW)
-    return cold.unionByName(_collide(finer, num, den)).distinct()
+    return _collide(counted, num, den).distinct()
 
 
 def similar_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, **bounds: int) -> DataFrame:

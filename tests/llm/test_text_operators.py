@@ -65,7 +65,8 @@ def test_no_pair_is_lost(spark):
     assert rows(near_duplicates.near_duplicate_pairs(df)) == sorted(expected, key=str)
     members, reps = near_duplicates.classes_of_equal_sets(near_duplicates.word_sets(df, "chunk_id", "text"))
     whole = {tuple(r)[:2] for r in near_duplicates.similar_pairs(reps).collect()}
-    assert {tuple(r)[:2] for r in near_duplicates.similar_pairs(reps, hot=2).collect()} == whole
+    for hot, depth in ((9, 0), (40, 1), (9, 1)):
+        assert {tuple(r)[:2] for r in near_duplicates.similar_pairs(reps, hot=hot, depth=depth).collect()} == whole
 
 
 def test_groups_are_linear_and_transitive(spark):
@@ -87,8 +88,11 @@ def test_masks_cover_every_pair_within_the_threshold(n, seed):
     if len(set(a) & set(b)) / len(set(a) | set(b)) < 0.7:
         return
     masks = near_duplicates.Masks(r.integers(0, 50, 512).astype(np.int32))
-    key, text, small, first, second, level = masks.keys(np.concatenate([a, b]), np.array([len(a), len(b)]))
-    assert set(key[(text == 0) & small]) & set(key[text == 1])
+    h, size = np.concatenate([a, b]), np.array([len(a), len(b)])
+    rows_ = masks.keys(h, size)
+    assert set(rows_.key[(rows_.text == 0) & rows_.small]) & set(rows_.key[rows_.text == 1])
+    finer, stay = masks.finer(h, size, rows_)  # and with two more bits
+    assert not len(stay.key) and set(finer.key[(finer.text == 0) & finer.small]) & set(finer.key[finer.text == 1])
     s = near_duplicates.parity_sketch(np.concatenate([a, b]), np.array([len(a), len(b)]))
     assert sum((int(x[0]) ^ int(x[1])).bit_count() if x[0] >= 0 and x[1] >= 0 else ((int(x[0]) ^ int(x[1])) & (2**64 - 1)).bit_count() for x in s) <= len(set(a) ^ set(b))
 
