@@ -9,6 +9,7 @@ a source conflict is soft: it is given up only when no bin without it has room.
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,12 +60,12 @@ class Bins:
         self.open: dict[int, list[int]] = {}
         self.residual: list[int] = []
         self.sources: list[int] = []
-        self.clusters: list[set[int]] = []
+        self.clusters: list[int] = []
 
     def new(self) -> int:
         self.residual.append(self.capacity)
         self.sources.append(0)
-        self.clusters.append(set())
+        self.clusters.append(0)
         return len(self.residual) - 1
 
     def fit(self, size: int, source: int, cluster: int) -> int:
@@ -76,7 +77,7 @@ class Bins:
             level += step
             above >>= step
             for b in self.open[level]:
-                if cluster in self.clusters[b]:
+                if self.clusters[b] & cluster:
                     continue
                 if not self.sources[b] & source:
                     return b
@@ -95,7 +96,7 @@ class Bins:
                 self.levels &= ~(1 << old)
         left = self.residual[b] = old - size
         self.sources[b] |= source
-        self.clusters[b].add(cluster)
+        self.clusters[b] |= cluster
         if left:
             self.open.setdefault(left, []).append(b)
             self.levels |= 1 << left
@@ -105,17 +106,20 @@ def pack_group(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, cap
     """(item, part, start, tokens, bin) for the items of one group; only items over the capacity are in several parts."""
     bins, out = Bins(capacity), []
     bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(sources))}
+    # only a cluster with several items here can conflict, so only those have a bit
+    shared = {c: 1 << i for i, c in enumerate(c for c, n in Counter(clusters.tolist()).items() if n > 1)}
+    mark = [shared.get(c, 0) for c in clusters.tolist()]
     rest = []
     for i, n in enumerate(sizes):
         part = 0
         while n - part * capacity > capacity:
             b = bins.new()
-            bins.put(b, capacity, bit[sources[i]], clusters[i])
+            bins.put(b, capacity, bit[sources[i]], mark[i])
             out.append((i, part, part * capacity, capacity, b))
             part += 1
         rest.append((int(n) - part * capacity, i, part))
     for size, i, part in sorted(rest, key=lambda x: (-x[0], x[1])):
-        source, cluster = bit[sources[i]], clusters[i]
+        source, cluster = bit[sources[i]], mark[i]
         b = bins.fit(size, source, cluster)
         if b < 0:
             b = bins.new()
