@@ -3,55 +3,111 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from folioflow.functions.text import terms
+from folioflow.runtime import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Largest number of distinct (query, term) rows that is broadcast, some 20 MB.
 QUERY_TERMS = 500_000
 
 
-def postings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl), partitioned by document: texts are dealt by id once, and everything that is later grouped by
-    document stays where it is. The fixed number of partitions keeps few but long texts spread."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).repartition(n, "doc_id")
-    each = base.select("doc_id", terms("text").alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+#: Folders of term hashes in a kept index; a search reads those of its terms only.
+FOLDERS = 64
+
+
+def _terms_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, t) with the terms of each text; the text itself goes no further."""
+    return docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("doc_id"), terms(text_column).alias("t"))
 
 
-def corpus(docs: DataFrame, text_column: str = "text") -> DataFrame:
+def vocabulary(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(term, df, total): in how many texts each term stands, and the empty term for the texts themselves, whose ``total`` is the sum of
+    their lengths in terms. One scan, combined on the map side, so that only terms are shuffled."""
+    each = _terms_of(docs, id_column, text_column).select(F.size("t").cast("long").alias("dl"), F.explode(F.array_union(F.array(F.lit("")), F.col("t"))).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+
+
+def corpus(vocab: DataFrame) -> DataFrame:
     """One row: number of texts and their mean length in terms."""
-    return docs.where(F.col(text_column).isNotNull()).agg(F.count("*").alias("n_docs"), F.avg(F.size(terms(text_column))).alias("avgdl"))
+    return vocab.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avgdl"))
 
 
-def term_weights(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf): negative weights become ``EPSILON`` times the mean of all weights."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))
-    raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_weights(vocab: DataFrame) -> DataFrame:
+    """(term, df, idf, avgdl): negative weights become ``EPSILON`` times the mean of all weights."""
+    raw = vocab.where("term <> ''").join(F.broadcast(corpus(vocab))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = 15, query_id: str = "query_id", query_text: str = "text", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank) of the ``k`` best texts of each query.
+def asked_terms(queries: DataFrame, query_id: str = "query_id", query_text: str = "text") -> DataFrame:
+    """(query_id, term, qf): a term that a query repeats counts again."""
+    return queries.where(F.col(query_text).isNotNull()).select(F.col(query_id).alias("query_id"), F.explode(terms(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
-    Repeated query terms count again. Scores are compared after rounding to six digits, ties by the smaller id; scores not
-    above zero are no hits. A query set of at most ``QUERY_TERMS`` weighted terms (counted first) is broadcast to the
-    postings, whose partitioning by document then serves the sums too, so that only k rows per query and partition are
-    shuffled; a larger one is joined by term, with partial sums before the exchange.
-    """
-    posts = postings(docs, id_column, text_column)
-    stats = corpus(docs, text_column)
-    asked = queries.where(F.col(query_text).isNotNull()).select(F.col(query_id).alias("query_id"), F.explode(terms(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weighted = asked.join(term_weights(posts, stats), "term").join(F.broadcast(stats.select("avgdl")))
-    few = asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS
-    hit = posts.join(F.broadcast(weighted) if few else weighted, "term")
+
+def _sent(asked: DataFrame):
+    """Broadcast for a counted query set of at most ``QUERY_TERMS`` rows, else none: those joins are shuffled."""
+    return F.broadcast if asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS else lambda df: df
+
+
+def _score(postings: DataFrame, weighted: DataFrame, send, k: int | None) -> DataFrame:
+    """(query_id, doc_id, score, rank) from (doc_id, term, tf, dl), partitioned by document, and (query_id, term, qf, idf, avgdl)."""
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scored = postings.join(send(weighted), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(scored, k)
 
 
+def search(queries: DataFrame, docs: DataFrame, k: int | None = 15, query_id: str = "query_id", query_text: str = "text", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(query_id, doc_id, score, rank) of the ``k`` best texts of each query.
+
+    Repeated query terms count again. Scores are compared after rounding to six digits, ties by the smaller id; scores not above
+    zero are no hits. The texts are read twice, for the vocabulary and for the postings of the queries' terms, and never shuffled: a
+    term that no query has is dropped where its text is read, and what is left is dealt by document once, which serves the term
+    counts and the sums, so that only k rows per query and partition are shuffled after it.
+    """
+    asked = asked_terms(queries, query_id, query_text)
+    send = _sent(asked)
+    weighted = asked.join(term_weights(cut(vocabulary(docs, id_column, text_column))), "term")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = _terms_of(docs, id_column, text_column).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    met = each.join(send(asked.select("term").distinct()), "term", "left_semi").repartition(n, "doc_id")
+    return _score(met.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), weighted, send, k)
+
+
+def _folder(term: str = "term"):
+    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int").alias("folder")
+
+
+def write_index(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> None:
+    """Keeps the postings, in folders by term hash, and the vocabulary of a table at ``path``."""
+    each = _terms_of(docs, id_column, text_column).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    posts = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    posts.select("*", _folder()).repartition("folder", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    vocabulary(docs, id_column, text_column).write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+
+def read_index(docs: DataFrame, path: str, text_column: str = "text") -> tuple[DataFrame, DataFrame] | None:
+    """(postings, vocabulary) kept at ``path``, or None where there is none or the number of texts has changed since."""
+    spark = docs.sparkSession
+    try:
+        posts, vocab = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary")
+    except AnalysisException:
+        return None
+    kept = vocab.where("term = ''").first()
+    return (posts, vocab) if (kept["df"] if kept else 0) == docs.where(F.col(text_column).isNotNull()).count() else None
+
+
+def search_index(queries: DataFrame, index: tuple[DataFrame, DataFrame], k: int | None = 15) -> DataFrame:
+    """``search`` over a kept index: no text is read, and of the postings only those of the queries' terms."""
+    posts, vocab = index
+    asked = asked_terms(queries)
+    send = _sent(asked)
+    wanted = asked.select("term", _folder()).distinct()
+    met = posts.join(send(wanted), ["folder", "term"], "left_semi").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return _score(met, asked.join(term_weights(vocab), "term"), send, k)
+
+
 def ranked(scored: DataFrame, k: int | None, by: str = "query_id", ties: str = "doc_id") -> DataFrame:
     """Rank 1.. within each query by score, ties by the smaller id; Spark keeps only ``k`` rows a group before the exchange."""
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), ties)).cast("long"))

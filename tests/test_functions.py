@@ -26,12 +26,14 @@ def test_sentences_keywords_claims(spark):
     assert {"model", "reaches", "45.9", "gpus", "data"} <= words and "2019" not in words and "with" not in words
     answer = "Claim one is long enough [Passage 2]. Short. Second claim stands here!\nSupporting evidence\nquoted text here is dropped."
     assert one(spark, text.claims("t"), t=answer) == ["Claim one is long enough  .", "Second claim stands here!"]
-    assert text.evidence("Transformer beats VERA-Large by 45 points (Smith et al., 2019) and a million rows in 2020") == ["transformer", "vera-large", "45", "million"]
+    said = "Transformer beats VERA-Large by 45 points (Smith et al., 2019) and a million rows in 2020"
+    assert one(spark, text.evidence_terms("t"), t=said) == ["transformer", "vera-large", "45", "million"]
+    assert one(spark, text.evidence_terms("t"), t="") == []
 
 
 def test_spacing_and_think(spark):
-    assert text.spaced("3.1 DataCurationPipeline") == "3.1 Data Curation Pipeline"
-    assert text.spaced("OrVella-M1 short") == "Or Vella-M1 short"
+    for given, want in {"3.1 DataCurationPipeline": "3.1 Data Curation Pipeline", "OrVella-M1 short": "Or Vella-M1 short", "transformerswithattention": "trans for mers with attention", "Pre-trainingGPT4Models\tx": "Pre-training GPT 4 Models\tx", "": ""}.items():
+        assert one(spark, text.english_spacing("t"), t=given) == want
     assert one(spark, text.strip_think("t"), t="<think>a</think> yes <think>open") == "yes"
 
 
@@ -63,11 +65,19 @@ def test_diversity_prefers_new_content():
     assert diversity.select([{"a", "b"}, {"a", "b"}, {"a", "c"}], {"a", "b", "c"}, 2, 0.5) == [0, 2]
 
 
-def test_headings():
-    assert layout.heading("3.1 DataCuration") == ("h2", "3.1 Data Curation")
-    assert layout.heading("2", "Related Work") == ("h1", "2 Related Work")
-    for line in ("12. Smith", "0.5 Axis", "1 https://x.org", "3 small letters", "4 A, b", "2 The model is", "1.2 Billion", "4 Opus", "1 Year 2024"):
-        assert layout.heading(line) is None
+def test_headings(spark):
+    lines = ["3.1 DataCuration", "2", "Related Work", "12. Smith", "0.5 Axis", "1 https://x.org", "3 small letters", "4 A, b", "2 The model is", "1.2 Billion", "4 Opus", "1 Year 2024", "8 A heading. And then more follows", "三、结果"]
+    df = spark.createDataFrame([("s", 1, "\n".join(lines)), ("s", 2, None), ("s", 3, "")], "source string, page int, text string")
+    assert rows(layout.headings(df).select("line", "level", "title")) == sorted([(0, "h2", "3.1 Data Curation"), (1, "h1", "2 Related Work"), (12, "h1", "8 A heading"), (13, "h1", "三、结果")], key=str)
+
+
+def test_sentences_and_keywords_agree_in_both_forms(spark, root):
+    """The rules stand once as expressions and once for the summary's own texts."""
+    from folioflow.operators import summary
+    from folioflow.runtime import table
+
+    for r in table(spark, root, "documents").where("text is not null").select("text", text.sentences("text").alias("s"), text.keywords("text").alias("k")).collect():
+        assert summary._sentences(r["text"]) == r["s"] and summary._keywords(r["text"]) == set(r["k"])
 
 
 def test_chars_become_lines():

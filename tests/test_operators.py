@@ -87,13 +87,49 @@ def test_merge_counts_first_page_and_drops_citations(spark):
     assert rows(graph.merge_triples(t, mapping))[0][2] == "Beta"
 
 
-def test_resolution_order():
-    assert graph.resolve({"Orvella-M1": 5, "Orvella-M1-80k": 2, "orvella": 1})["Orvella-M1"] == "Orvella-M1-80k"
-    assert graph.resolve({"VEQ": 9, "VEQ-M3": 3, "VEQ-Large": 2})["VEQ"] == "VEQ"
-    assert graph.resolve({"orvellam1x": 3, "orvellam2x": 1})["orvellam2x"] == "orvellam1x"
-    asked = []
-    graph.resolve({"abcdefgh": 3, "abcdefxy": 1}, lambda a, b: asked.append((a, b)) or True)
-    assert asked == [("abcdefgh", "abcdefxy")]
+def by_hand(frequency, judged=(), budget=20):
+    """Resolution as it is defined, over all pairs."""
+    from difflib import SequenceMatcher
+
+    order = sorted(frequency, key=lambda e: (-frequency[e], -len(e), e))
+    low = {e: e.lower() for e in order}
+    within = {e: sum(len(x) > len(e) and low[e] in low[x] for x in order) for e in order}
+    goes, asks = {}, 0
+    for i, a in enumerate(order):
+        if a in goes:
+            continue
+        for b in order[i + 1 :]:
+            if b in goes:
+                continue
+            if low[a] in low[b] or low[b] in low[a]:
+                short, long = sorted((a, b), key=len) if len(a) != len(b) else (a, b)
+                if within[short] <= 1:
+                    goes[short] = long
+                continue
+            ratio = SequenceMatcher(None, *sorted((low[a], low[b]))).ratio()
+            if ratio >= 0.88 or ratio >= 0.75 and (min(a, b), max(a, b)) in judged:
+                goes[b] = a
+    def end(e):
+        return end(goes[e]) if e in goes else e
+
+    return {e: end(e) for e in order}
+
+
+def test_resolution_order(spark):
+    freq = lambda d: spark.createDataFrame(list(d.items()), "entity string, freq long")
+    names = {"Orvella-M1": 5, "Orvella-M1-80k": 2, "orvella": 1, "VEQ": 9, "VEQ-M3": 3, "VEQ-Large": 2, "orvellam1x": 3, "orvellam2x": 1, "Bazateke": 4, "bazateke": 2, "BAZATEKE": 1, "abcdefgh": 3, "abcdefxy": 1}
+    got = dict(rows(graph.resolve_entities(freq(names))))
+    assert got == by_hand(names) and got["Orvella-M1"] == "Orvella-M1-80k" and got["VEQ"] == "VEQ" and got["abcdefxy"] == "abcdefxy"
+    judged = spark.createDataFrame([("abcdefxy", "abcdefgh", True), ("VEQ", "orvella", True)], "a string, b string, same boolean")
+    assert dict(rows(graph.resolve_entities(freq(names), judged))) == by_hand(names, {("abcdefgh", "abcdefxy")})
+    assert dict(rows(graph.resolve_entities(freq(names), judged, budget=0))) == got
+
+
+def test_resolution_against_all_pairs(spark, root):
+    from folioflow.runtime import table
+
+    freq = graph.entity_frequency(table(spark, root, "kg_triples"))
+    assert dict(rows(graph.resolve_entities(freq))) == by_hand(dict(rows(freq)))
 
 
 def test_entity_pairs(spark):
