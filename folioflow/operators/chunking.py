@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folioflow.functions.text import english_spacing
+from folioflow.runtime import cut
 
 SIZE, OVERLAP, SHORTEST = 500, 50, 20
 # Substrings that betray a code listing, labels of chunks without a heading, and the head of a table chunk.
@@ -43,9 +44,33 @@ def pack(size: int = SIZE, overlap: int = OVERLAP):
 
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(source, page, chunk_index, text) from (source, page, text, page_seq): short chunks are dropped and take no index."""
-    each = pages.select("source", "page", "page_seq", F.posexplode(pack(size, overlap)("text")).alias("seq", "text")).withColumn("text", F.trim("text")).where(F.length("text") >= SHORTEST)
-    order = Window.partitionBy("source").orderBy("page", "page_seq", "seq")
-    return each.select("source", "page", (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), "text")
+    pieces = F.filter(F.transform(pack(size, overlap)("text"), lambda t: F.trim(t)), lambda t: F.length(t) >= SHORTEST)
+    each = cut(pages.select("source", "page", "page_seq", pieces.alias("pieces")))
+    return _numbered(each.withColumn("kind", F.lit(1)), pages.sparkSession)
+
+
+def chunk_documents(tables: DataFrame, pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(source, page, chunk_index, content_type, text) of whole documents: the tables (source, page, page_seq, cells) that are real and no
+    listings come first, then the pages; one index runs through both."""
+    kept = tables.where(is_real_table(F.col("cells")) & ~is_code_table(F.col("cells"))).withColumn("text", table_text(F.col("cells"))).where("text is not null")
+    pieces = F.filter(F.transform(pack(size, overlap)("text"), lambda t: F.trim(t)), lambda t: F.length(t) >= SHORTEST)
+    every = kept.select("source", "page", "page_seq", F.array("text").alias("pieces"), F.lit(0).alias("kind")).unionByName(pages.select("source", "page", "page_seq", pieces.alias("pieces"), F.lit(1).alias("kind")))
+    return _numbered(cut(every), tables.sparkSession, typed=True)
+
+
+def _numbered(each: DataFrame, spark, typed: bool = False) -> DataFrame:
+    """Rows of (source, page, page_seq, kind, pieces) as chunks numbered through their source.
+
+    What is sorted by source are counts, one row a page and without text: where each page begins is then joined to its pieces, which
+    stay dealt as they are.
+    """
+    key = ["source", "kind", "page", "page_seq"]
+    counts = each.groupBy(*key).agg(F.sum(F.size("pieces")).alias("n"))
+    before = Window.partitionBy("source").orderBy("kind", "page", "page_seq").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = each.where(F.size("pieces") > 0).join(begins, key).select("source", "page", "kind", "begin", F.posexplode("pieces").alias("seq", "text"))
+    kind = [F.when(F.col("kind") == 0, "table").otherwise("text").alias("content_type")] if typed else []
+    return numbered.select("source", "page", (F.col("begin") + F.col("seq")).cast("long").alias("chunk_index"), *kind, "text")
 
 
 def empty_share(cells: Column) -> Column:

@@ -75,6 +75,14 @@ def search(queries: DataFrame, docs: DataFrame, k: int | None = 15, query_id: st
     return _score(met.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), weighted, send, k)
 
 
+def search_within(queries: DataFrame, docs: DataFrame, k: int = 15) -> DataFrame:
+    """(query_id, doc_id, score, rank) for queries (query_id, text, source) among the texts (doc_id, text, source) of their own source. The
+    source is met before the ranking, so none is lost to others; weights are those of the whole corpus."""
+    scored = search(queries, docs, None).select("query_id", "doc_id", "score")
+    own = scored.join(queries.select("query_id", "source"), "query_id").join(docs.where("text is not null").select("doc_id", "source"), ["doc_id", "source"])
+    return ranked(own.select("query_id", "doc_id", "score"), k)
+
+
 def _folder(term: str = "term"):
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int").alias("folder")
 

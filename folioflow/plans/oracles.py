@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from folioflow.operators.graph import CITATIONS, RELATION_STEMS, RELATION_SYNONYMS
-from folioflow.operators.layout import MATH_GLYPHS
-from folioflow.operators.verify import IMAGE, QUANTITY, RELATION, SUMMARY
+# Fixed values, stated here again so that a wrong one in the operators shows.
+RELATION_STEMS = {
+    "proposes": ["propose", "present", "introduce", "develop"], "based_on": ["based on", "built on", "extend", "derived from"], "uses": ["use", "utilize", "employ", "adopt", "leverage"],
+    "outperforms": ["outperform", "surpass", "beat", "exceed"], "trained_on": ["train", "pretrain", "fine-tune", "finetune"], "evaluated_on": ["evaluate", "test", "benchmark", "assess"],
+    "achieves": ["achieve", "reach", "obtain", "attain"], "consists_of": ["consist of", "compose", "comprise", "contain"], "compared_with": ["compare", "versus", "against"], "part_of": ["part of", "component", "module", "submodule"],
+}
+RELATION_SYNONYMS = {
+    "uses": ["uses", "use", "utilize", "utilizes", "employ", "employs", "adopt", "adopts", "powered by", "poweredby", "based on", "built on", "accomplish", "accomplishes"],
+    "proposes": ["proposes", "propose", "present", "presents", "introduce", "introduces", "develop", "develops"], "supports": ["supports", "support", "enable", "enables", "provide", "provides", "offer", "offers"],
+    "outperforms": ["outperforms", "outperform", "surpass", "surpasses", "beat", "beats", "exceed", "exceeds", "superior to", "comparable to", "better than"],
+    "compared_with": ["compared with", "compare with", "compared to", "compare to", "versus", "vs"], "trained_on": ["trained on", "train on", "pretrained on", "fine-tuned on", "finetuned on"],
+    "evaluated_on": ["evaluated on", "evaluate on", "tested on", "test on", "benchmark on", "benchmarked on"], "achieves": ["achieves", "achieve", "reach", "reaches", "obtain", "obtains", "attain", "attains"],
+    "consists_of": ["consists of", "consist of", "compose of", "comprises", "comprise", "contain", "contains"], "part_of": ["part of", "component of", "module of", "subcategory of"],
+    "is_a": ["is a", "is an", "is", "are", "instance of"], "released_with": ["released with", "release with", "comes with", "launched with"],
+}
+CITATIONS = ["authored", "authors", "author of", "authored by", "affiliated with", "cited", "cites", "referenced by", "references"]
+MATH_GLYPHS = "𝑖𝑡𝑗𝑘𝑛𝑚𝑠𝑟𝐴𝐽𝐺𝑀𝑅𝑜𝑞𝜃𝜋𝜖𝛽𝛾𝛼𝜆𝜇𝜎∑∫∂∇√𝔼ˆ"
+SUMMARY = r"(?i)\b(summar|overview|main idea|main contribution|abstract|key point|big picture|give me .* about (?:the )?paper|describe the paper|tl;?dr)"
+QUANTITY = r"(?i)\b(how many|how much|how long|how big|number of|amount of|size of|cost of|total of|count of)"
+RELATION = r"(?i)\b(relation|relationship|compare|comparison|versus|\bvs\.?\b|differ(?:ence)?|between|based on|outperform|use[sd]?|utilize|employ|propos|develop|creat|author|consist of|derive from|built on| powered by)"
+IMAGE = r"(?i)\b(figure|chart|diagram|image|picture|plot|table|graph)\b"
 
 _TERMS = r"list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+'), regexp_extract_all({0}, '[\x{{4e00}}-\x{{9fff}}]'))"
 
@@ -13,11 +31,11 @@ def _quoted(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-def _bm25(queries: str, k: int) -> str:
-    """CTEs ending in ``bm25(query_id, doc_id, score, rank)`` for a query table (query_id, text)."""
+def _bm25(queries: str, k: int, texts: str = "SELECT doc_id, text FROM documents") -> str:
+    """CTEs ending in ``bm25(query_id, doc_id, score, rank)`` for a query table (query_id, text) over ``texts`` (doc_id, text)."""
     return rf"""
     q AS ({queries}),
-    docs AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents WHERE text IS NOT NULL),
+    docs AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM ({texts}) WHERE text IS NOT NULL),
     corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM docs),
     post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM docs) GROUP BY doc_id, term),
     raw AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, corpus GROUP BY term),
@@ -126,3 +144,60 @@ ORACLES: dict[str, str] = {
         g AS (SELECT mode, query_id, min(rank) AS r FROM h JOIN q USING (query_id) JOIN documents d ON d.doc_id = h.doc_id AND d.source = expect_source GROUP BY mode, query_id)
         SELECT m.mode, count(*) AS queries, count(*) FILTER (r = 1) AS top1, count(*) FILTER (r <= 5) AS top5 FROM q CROSS JOIN (SELECT DISTINCT mode FROM h) m LEFT JOIN g ON g.mode = m.mode AND g.query_id = q.query_id GROUP BY m.mode""",
 }
+
+_CHUNK_TEXTS = "SELECT chunk_id AS doc_id, text FROM chunks"
+_FORM = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+_GRAPH_ASKED = "gq AS (SELECT min(answer_id) AS query_id, question AS text FROM answers_for_ragas WHERE question IS NOT NULL GROUP BY question)"
+_GRAPH_CHANNEL = f"""{_GRAPH_ASKED}, gr AS (SELECT query_id, subject, relation AS predicate, object, count FROM gq JOIN edges ON {_FORM.format('subject')} <> '' AND contains(' ' || {_FORM.format('gq.text')} || ' ', ' ' || {_FORM.format('subject')} || ' ')),
+    gt AS (SELECT query_id, 'subject=' || subject || ', predicate=' || predicate || ', object=' || object AS text, row_number() OVER (PARTITION BY query_id ORDER BY count DESC, subject, predicate, object) AS r FROM gr),
+    gc AS (SELECT query_id, 'graph:' || md5(text) AS doc_id, text, 0.9::DOUBLE AS score, 'knowledge_graph' AS source_tool FROM gt WHERE r <= 5)"""
+_PAGES = """pages AS (SELECT source, page, arg_min(CASE WHEN chunk_id % 3 = 0 THEN 'Figure ' || chunk_id % 50 || ': ' WHEN chunk_id % 7 = 0 THEN 'Table ' || chunk_id % 50 || ' | ' ELSE '' END || text, chunk_id) AS text FROM chunks WHERE source IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL GROUP BY source, page),
+    caps AS (SELECT source, page, unnest(range(len(c)))::INT AS seq, unnest(c) AS caption FROM (SELECT source, page, regexp_extract_all(text, '(?:Figure|Table)\\s*\\d+\\s*[|:][^\\n]{0,200}') AS c FROM pages))"""
+_CELLS = "list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' | '))"
+_HINTS = ["def ", "import ", "return ", "for ", "# ", "()", "self.", "lambda", "enumerate", "gradient_checkpointing", "torch"]
+_RULED = f"""ruled AS (SELECT answer_id, type AS given, CASE WHEN s THEN 'summary' WHEN q THEN 'fact' WHEN r THEN 'relation' ELSE 'fact' END AS type, CASE WHEN s OR q OR r THEN 0.95 ELSE 0.5 END::DOUBLE AS rc FROM (SELECT answer_id, type, regexp_matches(question, '{_RE['s']}') AS s, regexp_matches(question, '{_RE['q']}') AS q, regexp_matches(question, '{_RE['r']}') AS r FROM answers_for_ragas WHERE question IS NOT NULL))"""
+
+ORACLES |= {
+    "bm25_kept_index": ORACLES["bm25_batch_topk"],
+    "bm25_within_source": f"WITH {_bm25(_SAMPLED + ' AND source IS NOT NULL', 10**9)} SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, score FROM bm25) JOIN q USING (query_id) JOIN documents d USING (doc_id) WHERE d.source = expect_source) WHERE rank <= 15",
+    "hybrid_text_rrf": f"""WITH {_bm25(_SAMPLED, 15)}, {_vec(15)}, every AS (SELECT query_id, doc_id, rank, 0 AS channel FROM vec UNION ALL SELECT query_id, doc_id, rank, 1 FROM bm25),
+        single AS (SELECT query_id, d.text, channel, min(rank) AS rank, list(DISTINCT e.doc_id) AS ids FROM every e JOIN documents d ON d.doc_id = e.doc_id AND d.text IS NOT NULL GROUP BY query_id, d.text, channel),
+        fused AS (SELECT query_id, text, round(sum(1.0 / (60 + rank)), 6) AS rrf_score, min({{'c': channel, 'r': rank}}) AS first, array_to_string(list_sort(list_distinct(flatten(list(ids)))), ',') AS ids FROM single GROUP BY query_id, text)
+        SELECT * FROM (SELECT query_id, text, ids, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first, text) AS rank FROM fused) WHERE rank <= 5""",
+    "hit_projection": f"WITH {_bm25(_ITEMS, 5)} SELECT query_id, doc_id, substr(d.text, 1, 500) AS text, floor(score * 10000 + 0.5000001) / 10000 AS score, nullif((rank - 1)::DOUBLE, 0) AS rrf_score FROM bm25 JOIN documents d USING (doc_id)",
+    "collection_count": "SELECT count(*) AS vectors FROM embeddings",
+    "rerank_reply": f"""WITH {_bm25(_ITEMS, 15)}, s AS (SELECT query_id, doc_id, rank, CASE WHEN rank <= 9 AND count(*) OVER (PARTITION BY query_id) > 5 THEN ((rank * 7) % 11)::DOUBLE END AS rerank_score FROM bm25)
+        SELECT query_id, doc_id, rerank_score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, rank) AS new_rank FROM s) WHERE new_rank <= 5""",
+    "graph_channel": f"WITH {_EDGES}, {_GRAPH_CHANNEL} SELECT * FROM gc",
+    "channel_candidates": f"WITH {_EDGES}, {_GRAPH_CHANNEL}, {_bm25('SELECT query_id, text FROM gq', 5, _CHUNK_TEXTS)} SELECT query_id, doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.8 ELSE 0.3 END::DOUBLE AS score, CASE WHEN doc_id % 2 = 0 THEN 'vector' ELSE 'lexical' END AS source_tool FROM bm25 UNION ALL SELECT DISTINCT query_id, doc_id, score, source_tool FROM gc",
+    "graph_append": "SELECT trim(subject) AS subject, trim(relation) AS relation, trim(object) AS object, count(*) AS rows FROM kg_triples WHERE trim(subject) <> '' AND trim(relation) <> '' AND trim(object) <> '' GROUP BY 1, 2, 3",
+    "graph_nodes": f"WITH {_EDGES} SELECT DISTINCT unnest([subject, object]) AS name FROM edges",
+    "graph_node_sample": f"WITH {_EDGES} SELECT name FROM (SELECT DISTINCT unnest([subject, object]) AS name FROM edges) ORDER BY name LIMIT 10",
+    "graph_record_text": f"WITH {_EDGES} SELECT 'subject=' || subject || ', predicate=' || relation || ', object=' || object AS text FROM edges WHERE relation = 'uses'",
+    "graph_pattern_limit": f"WITH {_EDGES} SELECT subject, relation AS predicate, object, count FROM edges WHERE NOT contains(lower(subject), 'lab') ORDER BY subject, relation, object LIMIT 7",
+    "graph_components": f"""WITH RECURSIVE {_EDGES}, e AS (SELECT subject AS a, object AS b FROM edges WHERE subject <> object UNION SELECT object, subject FROM edges WHERE subject <> object),
+        r(a, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e USING (a) WHERE r.root < e.b) SELECT component, count(*) AS entities FROM (SELECT a, min(root) AS component FROM (FROM r UNION ALL SELECT a, a FROM e) GROUP BY a) GROUP BY component""",
+    "sentence_split": r"""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 25))::INT AS sentences FROM documents WHERE text IS NOT NULL""",
+    "table_chunks": f"""WITH t AS (SELECT chunk_id, {_CELLS} AS c FROM chunks WHERE content_type = 'table'), f AS (SELECT *, flatten(c) AS fl, list_filter(c[2:], lambda r: len(list_filter(r, lambda x: trim(x) <> '')) > 0) AS rs FROM t)
+        SELECT chunk_id, coalesce(len(c) >= 2 AND len(list_filter(fl, lambda x: trim(x) = '')) / len(fl)::DOUBLE < 0.4, false) AS is_real, len(list_filter([{_quoted(_HINTS)}], lambda h: contains(lower(array_to_string(list_filter(fl, lambda x: x <> ''), ' ')), h))) >= 3 AS is_code,
+        CASE WHEN len(c) >= 2 AND len(rs) > 0 THEN '表格内容：' || chr(10) || array_to_string(list_filter(list_transform(rs, lambda r: array_to_string(list_filter(list_transform(range(1, least(len(r), len(c[1])) + 1), lambda i: CASE WHEN trim(r[i]) <> '' THEN c[1][i] || ': ' || r[i] END), lambda p: p IS NOT NULL), ' | ')), lambda x: x <> ''), chr(10)) END AS rendered FROM f""",
+    "captions": f"WITH {_PAGES} SELECT source, page, seq, caption FROM caps",
+    "caption_match": f"WITH {_PAGES}, one AS (SELECT source, page, substr(caption, 1, 120) AS caption FROM caps WHERE seq = 0) SELECT source, page, page::DOUBLE AS x0, caption FROM pages LEFT JOIN one USING (source, page) WHERE page % 2 = 0 UNION ALL SELECT source, page, NULL, caption FROM one WHERE page % 2 <> 0",
+    "figure_filter": f"WITH {_BOXES}, b AS (SELECT source, page, x0, y0, x0 + x0 * 1.5 AS x1, y0 + x0 * 2 AS y1 FROM boxes WHERE x0 IS NOT NULL) SELECT source, page, round(x0, 1) AS x0, round(y0, 1) AS y0, round(x1, 1) AS x1, round(y1, 1) AS y1 FROM b WHERE x1 - x0 > 20 AND y1 - y0 > 20",
+    "column_count": """WITH c AS (SELECT l_returnflag AS source, (l_orderkey % 40)::INT AS page, (l_extendedprice % 600)::DOUBLE AS x, (l_quantity * 16)::DOUBLE AS top FROM lineitem), a AS (SELECT source, page, count(*) AS n, count(*) FILTER (abs(x - 300) <= 10) AS mid, count(*) FILTER (x < 300) AS l, count(*) FILTER (x >= 300) AS r, count(*) FILTER (abs(x - 600 * (1 / 3.0::DOUBLE)) <= 8) AS g1, count(*) FILTER (abs(x - 600 * (2 / 3.0::DOUBLE)) <= 8) AS g2, count(*) FILTER (x < 200) AS t1, count(*) FILTER (x BETWEEN 200 AND 400) AS t2, count(*) FILTER (x > 400) AS t3 FROM c WHERE top > 80 AND top < 720 GROUP BY source, page)
+        SELECT source, page, CASE WHEN n < 30 THEN 1 WHEN t1 > 100 AND t2 > 100 AND t3 > 100 AND g1 < 0.02 * n AND g2 < 0.02 * n THEN 3 WHEN mid < 0.05 * n AND l > 100 AND r > 100 THEN 2 ELSE 1 END AS columns FROM a""",
+    "section_guess": r"""SELECT chunk_id, CASE WHEN regexp_matches(text, '(?im)^abstract\b') THEN 'Abstract' WHEN regexp_matches(text, '(?im)^1\.?\s*introduction') THEN '1. Introduction' WHEN regexp_extract(text, '(?m)^(\d+)\.\s*(.+)$', 2) <> '' THEN substr(trim(regexp_extract(text, '(?m)^(\d+)\.\s*(.+)$', 2)), 1, 60) WHEN length(trim(string_split(text, chr(10))[1])) > 40 THEN 'Abstract / 论文摘要' ELSE substr(trim(string_split(text, chr(10))[1]), 1, 80) END AS section FROM chunks WHERE text IS NOT NULL""",
+    "query_guard": "SELECT * FROM (VALUES (0, true, ''), (1, true, ''), (2, false, 'forbidden word DELETE'), (3, false, 'several statements'), (4, true, ''), (5, false, 'no MATCH'), (6, false, 'forbidden word SET'), (7, false, 'empty query'), (8, false, 'empty query')) AS t(no, allowed, reason)",
+    "evaluation_report": f"""WITH r AS ({ORACLES['eval_rollup']}) SELECT pdf, coalesce(pdf, 'all documents') || ': ' || items || ' items, ' || failed || ' failed, recall ' || coalesce(round(100::DOUBLE * context_recall, 1)::VARCHAR || '%', '-') || ', complete ' || coalesce(round(100::DOUBLE * completeness, 1)::VARCHAR || '%', '-') || ', passed ' || coalesce(round(100::DOUBLE * pass_rate, 1)::VARCHAR || '%', '-') AS line FROM r""",
+    "judged_scores": "SELECT answer_id, CASE WHEN answer_id % 4 = 0 THEN 0.0 ELSE (answer_id % 10) / 10.0 END::DOUBLE AS recall, CASE WHEN answer_id % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS faithfulness FROM answers_for_ragas",
+    "retrieval_keywords": f"""WITH kq AS (SELECT answer_id AS query_id, question AS text, list_filter(list_transform(answer_keys, lambda k: {_FORM.format('k')}), lambda k: k <> '') AS ks FROM answers_for_ragas WHERE question IS NOT NULL AND answer_keys IS NOT NULL AND answer_id % 10 = 0), {_bm25('SELECT query_id, text FROM kq', 5, _CHUNK_TEXTS)},
+        e AS (SELECT query_id, len(ks) AS n, unnest(list_filter(ks, lambda k: contains({_FORM.format('c.text')}, k))) AS key FROM bm25 JOIN kq USING (query_id) JOIN chunks c ON c.chunk_id = doc_id), g AS (SELECT query_id, count(DISTINCT key) / any_value(n)::DOUBLE AS share FROM e GROUP BY query_id)
+        SELECT 'lexical' AS mode, count(*) AS queries, round(avg(coalesce(share, 0)), 6) AS ratio FROM kq LEFT JOIN g USING (query_id) WHERE len(ks) > 0""",
+    "route_arbitration": f"""WITH {_RULED}, m AS (SELECT *, CASE WHEN given IN ('fact', 'relation', 'summary') THEN given ELSE 'fact' END AS mt, (answer_id % 10) / 10.0::DOUBLE AS mc FROM ruled)
+        SELECT answer_id, CASE WHEN rc < 0.9 AND mc > rc + 0.1 THEN mt ELSE type END AS type, CASE WHEN rc < 0.9 AND mc > rc + 0.1 THEN 'llm' WHEN rc < 0.9 AND mt <> type AND mc >= rc THEN 'rule+llm' ELSE 'rule' END AS source FROM m""",
+    "answer_projection": "SELECT answer_id, array_to_string(list_transform(list_filter(contexts, lambda c: c IS NOT NULL), lambda c: substr(c, 1, 300)), '|') AS passages, round(answer_id / 7.0::DOUBLE, 4) AS confidence FROM answers_for_ragas",
+    "ingest_report": "WITH n AS (SELECT source, count(*) AS chunks FROM chunks GROUP BY source) SELECT d.source, CASE WHEN coalesce(chunks, 0) = 0 THEN 'empty' ELSE 'ok' END AS status, coalesce(chunks, 0) AS chunks FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) d LEFT JOIN n USING (source)",
+    "triple_extract": rf"""WITH t AS (SELECT triple_id, trim(subject) AS subject, relation, trim(object) AS object, concat_ws(' ', 'The passage states:', subject, relation, CASE WHEN triple_id % 5 <> 0 THEN object END) AS p FROM kg_triples WHERE subject IS NOT NULL AND relation IS NOT NULL AND object IS NOT NULL AND triple_id % 7 <> 0),
+        v AS (SELECT triple_id, subject, {_STEM} AS relation, object FROM t WHERE subject <> object AND length(subject) >= 2 AND length(object) >= 2 AND NOT regexp_full_match(subject, '\d+') AND NOT regexp_full_match(object, '\d+') AND regexp_matches(subject, '[\x{{4e00}}-\x{{9fff}}a-zA-Z0-9]') AND regexp_matches(object, '[\x{{4e00}}-\x{{9fff}}a-zA-Z0-9]') AND contains(p, subject) AND contains(p, object) AND length(trim(relation)) BETWEEN 1 AND 15)
+        SELECT subject, relation, object, min(triple_id) AS triple_id FROM v GROUP BY subject, relation, object""",
+}

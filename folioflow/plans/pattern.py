@@ -201,18 +201,21 @@ def _single(node: tuple | None, alias: str) -> tuple[str, str] | None:
     return (node[3].lower(), node[4]) if node[0] == "cmp" and node[1] == alias and node[2] == "name" and node[3] in ("=", "CONTAINS", "STARTS WITH", "ENDS WITH") else None
 
 
-def run(query: str, edges: DataFrame) -> DataFrame:
+def run(query: str, edges: DataFrame, every: bool = False) -> DataFrame:
     """Records of a query over (subject, relation, object, count): (subject, predicate, object, count), or for a path
-    (entities, relations, hops). Filters reach the scan of the edges; results come in a fixed order."""
+    (entities, relations, hops). Filters reach the scan of the edges; results come in a fixed order, up to the LIMIT of the query, or 50
+    (paths 10) where it has none; ``every`` lifts that default and gives all, unordered."""
     p = parse(query)
+    all_rows = every and not re.search(r"(?i)\bLIMIT\s+\d", query)
     if p.hops is None:
         columns = {f"{p.subject}.name": F.col("subject"), f"{p.object}.name": F.col("object"), f"{p.relation}.relation": F.col("relation")}
         kept = edges.where(_condition(p.where, columns)) if p.where else edges
-        return kept.select("subject", F.col("relation").alias("predicate"), "object", "count").orderBy("subject", "predicate", "object").limit(p.limit)
+        found = kept.select("subject", F.col("relation").alias("predicate"), "object", "count")
+        return found if all_rows else found.orderBy("subject", "predicate", "object").limit(p.limit)
     start = _single(p.where, p.subject)
     if start is None:
         raise PatternError("a path needs a condition on its first entity")
-    return graph.paths(edges, start, p.hops, _single(p.where, p.object), p.limit)
+    return graph.paths(edges, start, p.hops, _single(p.where, p.object), None if all_rows else p.limit)
 
 
 def answers(query: str, records: DataFrame) -> DataFrame:

@@ -39,14 +39,36 @@ def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return df.select(F.explode("qa").alias("x")).select("x.*"), df.select(F.explode("reflection_cases").alias("x")).select("x.*")
 
 
+def gold_of(questions: DataFrame, pdf: str) -> DataFrame:
+    """Questions on one document."""
+    return questions.where(F.col("pdf") == pdf)
+
+
+def default_source(df: DataFrame, fallback: str | None = None) -> Column:
+    """The alphabetically first source of a table as a value, else ``fallback``."""
+    return F.coalesce(F.lit(df.agg(F.min("source")).first()[0]), F.lit(fallback))
+
+
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, schema.ANSWER)
 
 
-def read_documents(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """(source, content) of the files of a directory; what cannot be read has null content, and the rest goes on."""
+def read_documents(spark: SparkSession, path: str, pattern: str = "*.pdf", names: list[str] | None = None) -> DataFrame:
+    """(source, content) of the files of a directory, or of those of ``names`` that are there; what cannot be read has null content,
+    and the rest goes on."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", False).option("ignoreCorruptFiles", True).load(path)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("source"), "content", "length")
+    found = df.select(F.element_at(F.split("path", "/"), -1).alias("source"), "content", "length")
+    return found if names is None else found.where(F.col("source").isin(list(names)))
+
+
+def ingest_report(documents: DataFrame, chunks: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(source, status, chunks) of each file: 'ok', 'empty' where it gave no chunk, 'missing' where a named file is not there."""
+    found = documents.select("source").distinct().withColumn("there", F.lit(True))
+    if names is not None:
+        found = documents.sparkSession.createDataFrame([(n,) for n in names], "source string").join(found, "source", "left")
+    n = chunks.groupBy("source").agg(F.count("*").alias("chunks"))
+    status = F.when(F.col("there").isNull(), "missing").when(F.coalesce("chunks", F.lit(0)) == 0, "empty").otherwise("ok")
+    return found.join(n, "source", "left").select("source", status.alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
 def data_url(path: Column, content: Column) -> Column:
@@ -97,6 +119,16 @@ def write_by_source(df: DataFrame, path: str, mode: str = "append") -> None:
     salted.repartition("source", "__salt").drop("__salt").write.mode(mode).partitionBy("source").parquet(path)
 
 
+def write_triples(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Triples as JSON lines, the form :func:`read_triples` reads."""
+    df.select(*(c for c in schema.TRIPLE.fieldNames() if c in df.columns)).write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def reset(spark: SparkSession, path: str, of: T.StructType) -> None:
+    """An empty table in place of what is kept at ``path``."""
+    spark.createDataFrame([], of).write.mode("overwrite").parquet(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A small report as JSON lines."""
     df.write.mode("overwrite").json(path)
