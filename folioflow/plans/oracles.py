@@ -188,7 +188,7 @@ ORACLES |= {
         SELECT source, page, CASE WHEN n < 30 THEN 1 WHEN t1 > 100 AND t2 > 100 AND t3 > 100 AND g1 < 0.02 * n AND g2 < 0.02 * n THEN 3 WHEN mid < 0.05 * n AND l > 100 AND r > 100 THEN 2 ELSE 1 END AS columns FROM a""",
     "section_guess": r"""SELECT chunk_id, CASE WHEN regexp_matches(text, '(?im)^abstract\b') THEN 'Abstract' WHEN regexp_matches(text, '(?im)^1\.?\s*introduction') THEN '1. Introduction' WHEN regexp_extract(text, '(?m)^(\d+)\.\s*(.+)$', 2) <> '' THEN substr(trim(regexp_extract(text, '(?m)^(\d+)\.\s*(.+)$', 2)), 1, 60) WHEN length(trim(string_split(text, chr(10))[1])) > 40 THEN 'Abstract / 论文摘要' ELSE substr(trim(string_split(text, chr(10))[1]), 1, 80) END AS section FROM chunks WHERE text IS NOT NULL""",
     "query_guard": "SELECT * FROM (VALUES (0, true, ''), (1, true, ''), (2, false, 'forbidden word DELETE'), (3, false, 'several statements'), (4, true, ''), (5, false, 'no MATCH'), (6, false, 'forbidden word SET'), (7, false, 'empty query'), (8, false, 'empty query')) AS t(no, allowed, reason)",
-    "evaluation_report": f"""WITH r AS ({ORACLES['eval_rollup']}) SELECT pdf, coalesce(pdf, 'all documents') || ': ' || items || ' items, ' || failed || ' failed, recall ' || coalesce(round(100::DOUBLE * context_recall, 1)::VARCHAR || '%', '-') || ', complete ' || coalesce(round(100::DOUBLE * completeness, 1)::VARCHAR || '%', '-') || ', passed ' || coalesce(round(100::DOUBLE * pass_rate, 1)::VARCHAR || '%', '-') AS line FROM r""",
+    "evaluation_report": f"""WITH r AS ({ORACLES['eval_rollup']}) SELECT pdf, coalesce(pdf, 'all documents') || ': ' || items || ' items, ' || failed || ' failed, recall ' || coalesce(round(100::DOUBLE * context_recall, 2)::VARCHAR || '%', '-') || ', complete ' || coalesce(round(100::DOUBLE * completeness, 2)::VARCHAR || '%', '-') || ', passed ' || coalesce(round(100::DOUBLE * pass_rate, 2)::VARCHAR || '%', '-') AS line FROM r""",
     "judged_scores": "SELECT answer_id, CASE WHEN answer_id % 4 = 0 THEN 0.0 ELSE (answer_id % 10) / 10.0 END::DOUBLE AS recall, CASE WHEN answer_id % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS faithfulness FROM answers_for_ragas",
     "retrieval_keywords": f"""WITH kq AS (SELECT answer_id AS query_id, question AS text, list_filter(list_transform(answer_keys, lambda k: {_FORM.format('k')}), lambda k: k <> '') AS ks FROM answers_for_ragas WHERE question IS NOT NULL AND answer_keys IS NOT NULL AND answer_id % 10 = 0), {_bm25('SELECT query_id, text FROM kq', 5, _CHUNK_TEXTS)},
         e AS (SELECT query_id, len(ks) AS n, unnest(list_filter(ks, lambda k: contains({_FORM.format('c.text')}, k))) AS key FROM bm25 JOIN kq USING (query_id) JOIN chunks c ON c.chunk_id = doc_id), g AS (SELECT query_id, count(DISTINCT key) / any_value(n)::DOUBLE AS share FROM e GROUP BY query_id)
