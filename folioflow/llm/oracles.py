@@ -11,8 +11,8 @@ _LONG = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(
 ORACLES: dict[str, str] = {
     "p1_found": rf"""WITH s AS (SELECT chunk_id, list_distinct({_WORDS.format('text')}) AS w FROM chunks WHERE content_type = 'text'), t AS (SELECT chunk_id, w, len(w) AS n FROM s WHERE len(w) >= 20)
         SELECT chunk_a, chunk_b FROM (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, len(list_intersect(a.w, b.w)) AS o, a.n + b.n AS n FROM t a JOIN t b ON a.chunk_id < b.chunk_id AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)) WHERE 10 * o >= 7 * (n - o)""",
-    "p1_groups": rf"""WITH RECURSIVE s AS (SELECT chunk_id, list_sort(list_distinct({_WORDS.format('text')})) AS w FROM chunks WHERE content_type = 'text'), m AS (SELECT chunk_id, w, len(w) AS n, min(chunk_id) OVER (PARTITION BY w) AS rep FROM s WHERE len(w) >= 20),
-        t AS (SELECT * FROM m WHERE chunk_id = rep), p AS (SELECT a, b FROM (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.w, b.w)) AS o, a.n + b.n AS n FROM t a JOIN t b ON a.rep <> b.rep AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)) WHERE 10 * o >= 7 * (n - o)),
+    "p1_groups": rf"""WITH RECURSIVE s AS (SELECT chunk_id, list_sort(list_distinct({_WORDS.format('text')})) AS w FROM chunks WHERE content_type = 'text'), m AS MATERIALIZED (SELECT chunk_id, w, len(w) AS n, min(chunk_id) OVER (PARTITION BY w) AS rep FROM s WHERE len(w) >= 20),
+        t AS MATERIALIZED (SELECT * FROM m WHERE chunk_id = rep), p AS MATERIALIZED (SELECT a, b FROM (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.w, b.w)) AS o, a.n + b.n AS n FROM t a JOIN t b ON a.rep <> b.rep AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)) WHERE 10 * o >= 7 * (n - o)),
         r(a, root) AS (SELECT rep, rep FROM t UNION SELECT p.b, r.root FROM r JOIN p USING (a)), g AS (SELECT a, min(root) AS root FROM r GROUP BY a), l AS (SELECT a, count(*) AS links FROM p GROUP BY a)
         SELECT chunk_id, root AS group_id, coalesce(links, 0) AS links FROM m JOIN g ON g.a = m.rep LEFT JOIN l ON l.a = m.rep""",
     "p5_found": rf"""WITH v AS (SELECT 'chunks.text' AS field, chunk_id AS row_id, 0 AS pos, text AS value FROM chunks UNION ALL SELECT 'answers_for_ragas.answer_keys', answer_id, unnest(range(len(answer_keys)))::INT, unnest(answer_keys) FROM answers_for_ragas)
