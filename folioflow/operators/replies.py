@@ -15,8 +15,9 @@ SHORTEST, LONGEST = 20, 2000
 
 
 def bare(reply: Column | str) -> Column:
-    """The reply without think blocks and code fences."""
-    return F.trim(F.regexp_replace(strip_think(reply), r"(?m)^\s*```[A-Za-z]*\s*$", ""))
+    """The reply without think blocks and code fences; null gives the empty text."""
+    given = F.coalesce(F.col(reply) if isinstance(reply, str) else reply, F.lit(""))
+    return F.trim(F.regexp_replace(strip_think(given), r"(?m)^\s*```[A-Za-z]*\s*$", ""))
 
 
 def json_array(reply: Column | str, of: str) -> Column:
