@@ -25,7 +25,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_paragraphs(spark: SparkSession, root: str) -> DataFrame:
-    return scans.repaired(table(spark, root, "chunks")).select("chunk_id", F.array_join("kinds", ",").alias("kinds"), "text")
+    return scans.repaired(table(spark, root, "chunks"), whole=True).select("chunk_id", F.array_join("kinds", ",").alias("kinds"), "text")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:

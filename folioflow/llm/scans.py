@@ -19,13 +19,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from folioflow.llm.normalize import INVISIBLE
 from folioflow.runtime import cut
 
 #: Documented bounds: texts the model is fitted on, EM rounds, characters of text that are repaired together, and bits of the
 #: word filter (8 MB are broadcast, whatever the corpus holds).
 SAMPLE, ROUNDS, BUCKET_CHARS, FILTER_BITS = 4000, 4, 1 << 20, 1 << 26
-#: Longest word that is counted, in letters.
-WORD_LETTERS = 40
+#: Longest word that is counted, in letters, and length from which a text of one line is no page number or running line.
+WORD_LETTERS, LONG_LINE = 40, 80
 BODY, RUNNING, PAGE, BREAK, OTHER = range(5)
 KINDS = ("broken_word", "misread", "running_line", "page_number")
 
@@ -350,6 +351,14 @@ def analyse(text: str, states: str, words: Words) -> tuple[list[str], list[str]]
     return [k for k in KINDS if k in kinds], repaired
 
 
+_INVISIBLE = re.compile(f"[{INVISIBLE}]")
+
+
+def visible(text: str) -> str:
+    """The text without characters that nobody sees, which would make two pieces of a word look like misread words."""
+    return text if text.isascii() else _INVISIBLE.sub("", text)
+
+
 def _divided(left: str, following: str) -> tuple[str, str] | None:
     """The two parts of a word that a line end divides."""
     right = re.match(r"[\w@+!$'’-]+", following)
@@ -439,18 +448,62 @@ def corrections(tokens: DataFrame, counts: DataFrame, bits: int = FILTER_BITS) -
     return found.mapInPandas(decide, "token string, meant string")
 
 
-def repaired(chunks: DataFrame, *, sample: int = SAMPLE, bucket_chars: int = BUCKET_CHARS, bits: int = FILTER_BITS) -> DataFrame:
+def _tested(plain: DataFrame) -> DataFrame:
+    """(token) that may be misread in texts without lines to put together; once a batch, then once in all."""
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            runs: set[str] = set()  # no token goes beyond white space
+            for t in batch["text"]:
+                runs.update(visible(t).split())
+            yield pd.DataFrame({"token": sorted({x.lower() for token in set(_TOKEN.findall(" ".join(runs))) for x in (token, token.rstrip("!|+")) if doubtful(x)})}, dtype=object)
+
+    return plain.select("text").mapInPandas(tokens, "token string").distinct()
+
+
+def _picked(plain: DataFrame, fixed: DataFrame, model, bits: int, damaged: bool) -> DataFrame:
+    """The texts without lines to put together that hold a misread word or are furniture, labelled; or (not ``damaged``) the others.
+
+    Fixed bits of the misread tokens decide: what they let through in vain is found whole later, none is lost.
+    """
+    misread = plain.sparkSession.sparkContext.broadcast(Filter(fixed.select(F.col("token").alias("word")), bits))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, lines = misread.value, model.value
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                piece = batch.iloc[at : at + 2000]
+                clean = [visible(t) for t in piece["text"]]
+                runs = [t.split() for t in clean]
+                hit = {run for run in set().union(*runs) if any(x.lower() in known or x.rstrip("!|+").lower() in known for x in _TOKEN.findall(run))}
+                states = [str(OTHER) * (t.count("\n") + 1) if table else states_of(t, lines) if len(t) < LONG_LINE else str(BODY) for t, table in zip(clean, piece["cells"])]
+                take = [not hit.isdisjoint(r) or s in (str(RUNNING), str(PAGE)) for r, s in zip(runs, states)]
+                if not damaged:
+                    yield pd.DataFrame([(i, [], t.strip()) for i, t, x in zip(piece["chunk_id"], piece["text"], take) if not x], columns=["chunk_id", "kinds", "text"])
+                    continue
+                asked = [(i, t, s, *(sorted(x) for x in questions(t, s)), "\n" if table else "\n\n") for i, t, s, table, x in zip(piece["chunk_id"], clean, states, piece["cells"], take) if x]
+                yield pd.DataFrame(asked, columns=["chunk_id", "text", "states", "tokens", "words", "apart"])
+
+    return plain.mapInPandas(pick, _LABELLED if damaged else "chunk_id long, kinds array<string>, text string")
+
+
+_LABELLED = "chunk_id long, text string, states string, tokens array<string>, words array<string>, apart string"
+
+
+def repaired(chunks: DataFrame, *, whole: bool = False, untouched: bool = True, sample: int = SAMPLE, bucket_chars: int = BUCKET_CHARS, bits: int = FILTER_BITS) -> DataFrame:
     """(chunk_id, kinds, text) of the chunks of several lines that are no tables: kinds of damage and the clean paragraphs,
-    parted by an empty line.
+    parted by an empty line. ``whole``: of all chunks with any text.
+
+    A text of one line and a table have no lines to put together, but their words may be misread and a short line may be a page number
+    or running line: they are tested where they lie, and only what has damage is moved; the lines of a table stay lines. The others come
+    out as they are, or not at all (not ``untouched``). A text that is null or empty is left out; its state is 'not scanned'.
 
-    A text of one line, null or empty has no lines to label and is left out; its state is 'not scanned'. Texts are dealt by a hash
-    of their id to buckets of about ``bucket_chars`` characters; a bucket meets the corrections and counts of its own tokens only,
-    so what a task holds does not grow with the corpus.
+    Texts are dealt by a hash of their id to buckets of about ``bucket_chars`` characters; a bucket meets the corrections and counts of its
+    own tokens only, so what a task holds does not grow with the corpus.
     """
-    candidates = chunks.where(F.col("text").contains("\n") & ~F.coalesce(F.col("content_type") == "table", F.lit(False))).select("chunk_id", "text")
+    cells = F.coalesce(F.col("content_type") == "table", F.lit(False))
+    candidates = chunks.where(F.col("text").contains("\n") & ~cells).select("chunk_id", "text")
     counts = cut(word_counts(chunks))
-    size = candidates.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-size // bucket_chars))
     sent = chunks.sparkSession.sparkContext.broadcast(fitted(candidates, sample))
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -461,29 +514,41 @@ def repaired(chunks: DataFrame, *, sample: int = SAMPLE, bucket_chars: int = BUC
                 if t not in done:
                     states = states_of(t, model)
                     done[t] = (states, *(sorted(x) for x in questions(t, states)))
-            yield batch.assign(states=[done[t][0] for t in batch["text"]], tokens=[done[t][1] for t in batch["text"]], words=[done[t][2] for t in batch["text"]])
-
-    dealt = candidates.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int"))
-    labelled = cut(dealt.mapInPandas(label, "chunk_id long, text string, bucket int, states string, tokens array<string>, words array<string>"))
+            yield batch.assign(states=[done[t][0] for t in batch["text"]], tokens=[done[t][1] for t in batch["text"]], words=[done[t][2] for t in batch["text"]], apart="\n\n")
+
+    labelled = cut(candidates.mapInPandas(label, _LABELLED))
+    tokens = labelled.select(F.explode("tokens").alias("token")).distinct()
+    if whole:
+        plain = chunks.where((F.col("text") != "") & (~F.col("text").contains("\n") | cells)).select("chunk_id", "text", cells.alias("cells"))
+        tokens = tokens.union(_tested(plain)).distinct()
+    fixed = corrections(tokens, counts, bits)
+    if whole:
+        fixed = cut(fixed)
+        labelled = labelled.unionByName(cut(_picked(plain, fixed, sent, bits, True)))
+    size = labelled.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // bucket_chars))
+    labelled = labelled.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int"))
     asked = labelled.select("bucket", F.explode("tokens").alias("token")).distinct()
-    fixed = corrections(asked.select("token").distinct(), counts, bits)
     words = labelled.select("bucket", F.explode("words").alias("word")).distinct().join(counts, "word").select("bucket", "word", "n", F.lit(None).cast("string").alias("meant"))
     told = asked.join(fixed, "token").select("bucket", F.col("token").alias("word"), F.lit(None).cast("long").alias("n"), "meant").unionByName(words)
 
     def run(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         counted, corrected = told[told["meant"].isna()], told[told["meant"].notna()]
         known = Words(dict(zip(counted["word"], counted["n"].astype("int64"))), dict(zip(corrected["word"], corrected["meant"])))
-        done: dict[str, tuple] = {}
-        for t, states in zip(texts["text"], texts["states"]):
-            if t not in done:
-                done[t] = analyse(t, states, known)
-        return pd.DataFrame({"chunk_id": texts["chunk_id"], "kinds": [done[t][0] for t in texts["text"]], "text": ["\n\n".join(done[t][1]) for t in texts["text"]]})
-
-    texts = labelled.select("bucket", "chunk_id", "text", "states")
+        done: dict[tuple, tuple] = {}
+        for key in zip(texts["text"], texts["states"], texts["apart"]):
+            if key not in done:
+                kinds, paragraphs = analyse(key[0], key[1], known)
+                done[key] = kinds, key[2].join(paragraphs)
+        found = [done[key] for key in zip(texts["text"], texts["states"], texts["apart"])]
+        return pd.DataFrame({"chunk_id": texts["chunk_id"], "kinds": [k for k, _ in found], "text": [t for _, t in found]})
+
+    texts = labelled.select("bucket", "chunk_id", "text", "states", "apart")
     told = told.toDF("at", "word", "n", "meant")  # names of its own, as both sides come from one table
-    return texts.groupBy("bucket").cogroup(told.groupBy("at")).applyInPandas(run, "chunk_id long, kinds array<string>, text string")
+    done = texts.groupBy("bucket").cogroup(told.groupBy("at")).applyInPandas(run, "chunk_id long, kinds array<string>, text string")
+    return done.unionByName(_picked(plain, fixed, sent, bits, False)) if whole and untouched else done
 
 
 def damage(chunks: DataFrame, **bounds) -> DataFrame:
-    """(chunk_id, kind), one row per chunk and kind of damage."""
-    return repaired(chunks, **bounds).select("chunk_id", F.explode("kinds").alias("kind"))
+    """(chunk_id, kind), one row per chunk and kind of damage, whatever the chunk holds."""
+    return repaired(chunks, whole=True, untouched=False, **bounds).select("chunk_id", F.explode("kinds").alias("kind"))

@@ -66,6 +66,17 @@ def test_a_rare_word_stays_known_in_a_large_corpus(spark):
         assert rows(scans.damage(chunks)) == [(2000, "misread")]
 
 
+def test_texts_of_one_line_and_tables_are_read_too(spark):
+    """Misread words are found wherever they stand; pieces that an invisible character leaves are none, and lines of tables stay."""
+    fine = [(i, "text", "every evaluation of linking after another") for i in range(40)]
+    odd = [(100, "text", "the evaluati0n of all"), (101, "table", "Table:\nA: evaluati0n | B: 2\nA: c | B: 3"), (102, None, "evaluati0n"), (103, "text", "ch\u200cunking and evalua\ufefftion"), (104, "text", "- 12 -"), (105, "text", ""), (106, "text", None), (107, "table", "evaluation")]
+    chunks = spark.createDataFrame(fine + odd, "chunk_id long, content_type string, text string")
+    assert rows(scans.damage(chunks)) == [(100, "misread"), (101, "misread"), (102, "misread"), (104, "page_number")]
+    got = {r["chunk_id"]: (r["kinds"], r["text"]) for r in scans.repaired(chunks, whole=True, bits=1 << 15, bucket_chars=20).collect()}
+    assert set(got) == {i for i, _, t in fine + odd if t} and got[0] == ([], fine[0][2]) and got[107] == ([], "evaluation")
+    assert got[101] == (["misread"], "Table:\nA: evaluation | B: 2\nA: c | B: 3") and got[103] == ([], odd[3][2])
+
+
 # --- 9: leakage -------------------------------------------------------------------------------------------------------
 def test_items_in_blocks_leak_as_one_set(spark, root):
     from folioflow.runtime import table
