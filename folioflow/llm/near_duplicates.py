@@ -9,8 +9,10 @@ the similarity threshold implies is guaranteed to collide under one mask:
 * with ``m = g + 1`` common words in ``g`` blocks, one block holds two of them, and that pair of bits is a mask.
 
 The classic family (2^(r+1) - 1 dense masks) needs hundreds of tables at the radius of 14 to 20 bits that 0.7 means here; this one
-needs about 0.8 masks a word and keeps the guarantee. Buckets over a fixed size get two more bits by the same argument; what
-stays large, as a group of near copies does, is cut into cells. So no bucket grows with the collection. A parity sketch of 256 bits,
+needs about 0.8 masks a word and keeps the guarantee. With ``m = 2 g + 1`` one block holds three common words: masks of three bits, for
+collections so large that pairs of words meet too often. Buckets over a fixed size get two more bits by the same argument; what
+stays large, as a group of near copies does, is cut into cells. So no bucket grows with the collection. Masks are made, shuffled and
+joined in rounds, a part of the blocks at a time, so that disk holds no more than a fixed multiple of the texts. A parity sketch of 256 bits,
 whose Hamming distance never exceeds the true one, refuses most chance collisions inside the join; what is left is checked exactly.
 """
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.operators.components import connected_components
-from folioflow.runtime import cut
+from folioflow.runtime import cut, release, small_side
 
 #: Similarity as a fraction, least number of distinct words, slots of the frequency table (4 bytes each are broadcast,
 #: whatever the corpus holds), and the bucket size above which a mask gets two more bits.
@@ -31,8 +33,12 @@ NUM, DEN, LEAST_WORDS, SLOTS, HOT = 7, 10, 20, 1 << 18, 2048
 #: How often bits are added (each time a row becomes about twenty, which pays once), and most keys of large buckets that are sent
 #: out (8 bytes each; where there are more, the largest are, and the others stay as they are).
 DEPTH, HOT_KEYS = 1, 1 << 21
-#: Sizes at which a new level with twice the blocks begins.
-LEVELS = ((20, 8), (64, 16), (205, 32), (656, 64), (2100, 128), (6720, 256), (21504, 512))
+#: Sizes at which a new level begins, and its blocks: by the bits of a mask. Blocks of all levels are multiples of the first.
+WIDTHS = {2: ((20, 8), (64, 16), (205, 32), (656, 64), (2100, 128), (6720, 256), (21504, 512)), 3: ((20, 6), (64, 18), (205, 54), (656, 162), (2100, 486), (6720, 1458), (21504, 4374))}
+LEVELS = WIDTHS[2]
+#: Texts from which the cost of each width is estimated and, at least, hot masks are counted (neither decides what is found); how many
+#: comparisons cost as much as a row; bytes of a shuffled row; and bytes that a round may shuffle where the texts have fewer.
+TRIED, COUNTED, ROW_COST, ROW_BYTES, ROUND_BYTES = 6_000, 500_000, 300, 48, 256 << 20
 
 
 def word_sets(texts: DataFrame, id_column: str, text_column: str, least: int = LEAST_WORDS) -> DataFrame:
@@ -42,12 +48,17 @@ def word_sets(texts: DataFrame, id_column: str, text_column: str, least: int = L
 
 
 def classes_of_equal_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, representatives): (id, rep) of every text, and (id, words) of the least id of each class of equal sets."""
+    """(members, representatives): (id, rep) of every text, and (id, words) of the least id of each class of equal sets.
+
+    Words are kept as one string a text and only once; what finds the classes is hashes.
+    """
     key = F.array_join(F.array_sort("words"), " ")
-    keyed = cut(sets.select("id", "words", F.xxhash64(key).alias("k1"), F.md5(key).alias("k2")))
+    keyed = cut(sets.select("id", F.xxhash64(key).alias("k1"), F.md5(key).alias("k2")))
     reps = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    members = cut(keyed.select("id", "k1", "k2").join(reps, ["k1", "k2"]).select("id", "rep"))
-    return members, keyed.select("id", "words").join(members.where("id = rep").select("id"), "id", "left_semi")
+    members = cut(keyed.join(reps, ["k1", "k2"]).select("id", "rep"))
+    kept = cut(sets.join(small_side(members.where("id <> rep").select("id")), "id", "left_anti").select("id", F.array_join("words", " ").alias("text")))
+    release(sets.sparkSession)
+    return members, kept.select("id", F.split("text", " ").alias("words"))
 
 
 def slot_counts(reps: DataFrame, slots: int = SLOTS) -> np.ndarray:
@@ -73,8 +84,8 @@ def _mix(a: np.ndarray, b: np.ndarray, c: int | np.ndarray = 0) -> np.ndarray:
 class Masks:
     """The mask family for one threshold; all methods work on flat arrays of many texts."""
 
-    def __init__(self, counts: np.ndarray, num: int = NUM, den: int = DEN):
-        self.counts, self.num, self.den = counts, num, den
+    def __init__(self, counts: np.ndarray, num: int = NUM, den: int = DEN, width: int = 2):
+        self.counts, self.num, self.den, self.width, self.levels = counts, num, den, width, WIDTHS[width]
 
     def ordered(self, hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text from rare to frequent: (hash, text number, position)."""
@@ -102,21 +113,40 @@ class Masks:
                 break
             yield w, t, p, i, i + lag
 
-    def keys(self, hashes: np.ndarray, size: np.ndarray) -> "Rows":
-        """All masks of all texts."""
+    def keys(self, hashes: np.ndarray, size: np.ndarray, part: tuple[int, int] = (0, 1)) -> "Rows":
+        """All masks of all texts; or those of round ``part[0]`` of ``part[1]``, by the block and, beyond the least number of blocks, the key."""
         word, text, pos = self.ordered(hashes, size)
+        base = min(part[1], self.levels[0][1])
+        shares = -(-part[1] // base)
+        block = (word >> np.uint64(40)) % np.uint64(self.levels[0][1]) % np.uint64(base) == np.uint64(part[0] % base)
         out = []
-        for level, (low, g) in enumerate(LEVELS):
-            high = LEVELS[level + 1][0] if level + 1 < len(LEVELS) else np.iinfo(np.int64).max
+        for level, (low, g) in enumerate(self.levels):
+            high = self.levels[level + 1][0] if level + 1 < len(self.levels) else np.iinfo(np.int64).max
             own = (size >= low) & (size < high)
             below = (size < low) & (size * self.den >= low * self.num) if level else np.zeros(len(size), bool)
-            small_prefix = self.prefix(size, g + 1, True)
-            length = np.where(own, self.prefix(size, g + 1, False), np.where(below, small_prefix, 0))
-            take = pos < length[text]
-            for w, t, p, i, j in self._pairs(word[take], text[take], pos[take], np.full(take.sum(), g)):
-                small = (p[i] < small_prefix[t[i]]) & (p[j] < small_prefix[t[j]])
-                out.append(Rows(_mix(w[i], w[j], level + 1), t[i], small, np.full(len(i), level), np.minimum(self.seen(w[i]), self.seen(w[j])), np.stack([p[i], p[j]], 1)))
-        return Rows.joined(out, 2)
+            common = (self.width - 1) * g + 1
+            small_prefix = self.prefix(size, common, True)
+            length = np.where(own, self.prefix(size, common, False), np.where(below, small_prefix, 0))
+            take = (pos < length[text]) & block
+            for w, t, p, *at in self._bits(word[take], text[take], pos[take], np.full(take.sum(), g)):
+                key = _mix(w[at[0]], w[at[1]], level + 1)
+                for k in at[2:]:
+                    key = _mix(key, w[k])
+                mine = np.flatnonzero((key >> np.uint64(9)) % np.uint64(shares) == np.uint64(part[0] // base)) if shares > 1 else slice(None)
+                key, at = key[mine], [k[mine] for k in at]
+                i = at[0]
+                small = np.logical_and.reduce([p[k] < small_prefix[t[i]] for k in at])
+                out.append(Rows(key, t[i], small, np.full(len(i), level), np.minimum.reduce([self.seen(w[k]) for k in at]), np.stack([p[k] for k in at], 1)))
+        return Rows.joined(out, self.width)
+
+    def _bits(self, w: np.ndarray, t: np.ndarray, p: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """All pairs or threes of words of a text that fall in one block: arrays w, t, p sorted so, and the index arrays."""
+        for w, t, p, i, j in self._pairs(w, t, p, blocks):
+            if self.width == 2:
+                yield w, t, p, i, j
+            elif len(i):
+                for lag in range(1, int(j[0] - i[0])):  # a text's words of a block stand together, so what is between is of it too
+                    yield w, t, p, i, i + lag, j
 
     def seen(self, words: np.ndarray) -> np.ndarray:
         """In how many texts each word can be at most: no bucket of a mask is larger than the rarest of its words allows."""
@@ -129,7 +159,7 @@ class Masks:
         those of the mask, ``g + 1`` are left in ``g`` blocks. That takes as many shared words, which few bits of a short text have.
         """
         bits = rows.used.shape[1]
-        lows, blocks = (np.array([x[k] for x in LEVELS])[rows.level] for k in (0, 1))
+        lows, blocks = (np.array([x[k] for x in self.levels])[rows.level] for k in (0, 1))
         can = _ceil(lows, self.num, self.den) >= blocks + 1 + bits
         stay, rows, blocks = rows.where(~can), rows.where(can), blocks[can]
         word, text, pos = self.ordered(hashes, size)
@@ -148,9 +178,9 @@ class Masks:
             out.append(Rows(_mix(rows.key[k], _mix(w[i], w[j])), rows.text[k], small, rows.level[k], bound, np.column_stack([rows.used[k], p[i], p[j]])))
         return Rows.joined(out, bits + 2), stay
 
-    def all_keys(self, hashes: np.ndarray, size: np.ndarray, hot: list[np.ndarray]) -> list["Rows"]:
+    def all_keys(self, hashes: np.ndarray, size: np.ndarray, hot: list[np.ndarray], part: tuple[int, int] = (0, 1)) -> list["Rows"]:
         """The masks of all texts, with bits added ``len(hot)`` times for the keys that are hot then: those of the last step first."""
-        rows, settled = self.keys(hashes, size), []
+        rows, settled = self.keys(hashes, size, part), []
         for keys in hot:
             large = _in(rows.key, keys)
             settled.append(rows.where(~large))
@@ -246,12 +276,15 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield piece.column("id").to_numpy(), *_flat(piece.column("h"))
 
 
-def hot_keys(hashed: DataFrame, sent, hot: int, depth: int, most: int = HOT_KEYS) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def hot_keys(hashed: DataFrame, sent, hot: int, depth: int, most: int = HOT_KEYS, share: float = 1.0) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """(keys of buckets over ``hot`` rows after 0, 1, ... times of adding bits, keys and sizes of those left after the last).
 
     Counted by aggregation with map-side sums, and only over masks all of whose words are in more than ``hot`` texts: others cannot be.
+    Of many texts a ``share`` is counted; a key that it misses only leaves its bucket larger.
     """
     found: list[np.ndarray] = []
+    if share < 1:
+        hashed = hashed.where(F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
     for _ in range(depth + 1):
         known = hashed.sparkSession.sparkContext.broadcast(found)
 
@@ -262,30 +295,84 @@ def hot_keys(hashed: DataFrame, sent, hot: int, depth: int, most: int = HOT_KEYS
                 rows = parts[0] if len(known.value) < depth else Rows.joined([Rows(p.key, p.text, p.small, p.level, p.bound, p.used[:, :0]) for p in parts], 0)
                 yield pa.RecordBatch.from_arrays([pa.array(rows.key[rows.bound > hot].view(np.int64))], names=["key"])
 
-        counts = hashed.mapInArrow(emit, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        counts = hashed.mapInArrow(emit, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot * share)
         large = counts.orderBy(F.desc("n"), "key").limit(most).toPandas()
         keys = large["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
         if len(found) == depth or not len(keys):
             break
         found.append(keys[order])
-    return found, (keys[order], large["n"].to_numpy(np.int64)[order])
+    return found, (keys[order], (large["n"].to_numpy(np.int64) / share).astype(np.int64)[order])
+
+
+def _cost(masks: Masks, h: np.ndarray, size: np.ndarray, share: float) -> float:
+    """Estimated rows and comparisons of the whole collection, from the masks of a ``share`` of its texts."""
+    n = np.unique(masks.keys(h, size).key, return_counts=True)[1].astype(float)
+    return ROW_COST * n.sum() / share + (n * (n - 1)).sum() / 2 / share**2
+
+
+def _rounds(hashed: DataFrame, sent, known, texts: int, size: int, round_bytes: int) -> int:
+    """In how many rounds the rows of all masks, estimated from a part of the texts, take no more bytes than the texts, or ``round_bytes``."""
+    share = min(1.0, TRIED / max(1, texts))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = Masks(*sent.value)
+        finer, last, parts = known.value
+        for _, h, size in _pieces(batches):
+            n = 0
+            for rows in masks.all_keys(h, size, finer):
+                large = _in(rows.key, last)
+                n += (~large).sum() + 2 * parts[np.searchsorted(last, rows.key[large])].sum()
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
+    tried = hashed.where(F.pmod(F.xxhash64(F.col("id"), F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = (tried.mapInArrow(emit, "n long").agg(F.sum("n")).first()[0] or 0) / share
+    return max(1, -(-int(rows * ROW_BYTES) // max(round_bytes, size)))
 
-def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int = SLOTS, hot: int = HOT, depth: int = DEPTH) -> DataFrame:
-    """(a, b), distinct, ``a`` the text with no more words: every pair at or above the threshold, and few others."""
+
+def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int = SLOTS, hot: int = HOT, depth: int = DEPTH, width: int | None = None, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """(a, b), distinct, ``a`` the text with no more words: every pair at or above the threshold, and few others.
+
+    ``width`` None: masks of two bits or three, whichever cost less on a part of the texts; three bits are enough without more of them.
+    """
     context = reps.sparkSession.sparkContext
-    sent = context.broadcast((slot_counts(reps, slots), num, den))
+    texts, size = reps.agg(F.count("*"), F.sum(F.length(F.array_join("words", " ")))).first()
+    counts = slot_counts(reps, slots)
     hashed = reps.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    found, (left, sizes) = hot_keys(hashed, sent, hot, depth)
+    if width is None:
+        share = min(1.0, TRIED / max(1, texts))
+        tried = hashed.where(F.pmod(F.xxhash64(F.col("id"), F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20))).toPandas()["h"]
+        h = np.concatenate([np.asarray(x, np.int64).view(np.uint64) for x in tried]) if len(tried) else np.zeros(0, np.uint64)
+        sizes = np.array([len(x) for x in tried], np.int64)
+        width = min(WIDTHS, key=lambda w: _cost(Masks(counts, num, den, w), h, sizes, share))
+    if width > 2:
+        depth = 0
+    sent = context.broadcast((counts, num, den, width))
+    found, (left, sizes) = hot_keys(hashed, sent, hot, depth, share=max(min(1.0, COUNTED / max(1, texts)), min(1.0, 16 / hot)))
     known = context.broadcast((found, left, -(-sizes // hot)))
+    rounds = _rounds(hashed, sent, known, texts, size or 0, round_bytes)
+    if rounds == 1:
+        return _round(hashed, sent, known, num, den, (0, 1))
+    base = WIDTHS[width][0][1]
+    rounds = rounds if rounds <= base else -(-rounds // base) * base
+    pairs = []
+    for k in range(rounds):
+        pairs.append(cut(_round(hashed, sent, known, num, den, (k, rounds))))
+        release(reps.sparkSession)
+    while len(pairs) > 1:
+        pairs = [x[0].unionByName(x[1]) if len(x) > 1 else x[0] for x in (pairs[i : i + 2] for i in range(0, len(pairs), 2))]
+    return pairs[0].distinct()
+
+
+def _round(hashed: DataFrame, sent, known, num: int, den: int, part: tuple[int, int]) -> DataFrame:
+    """(a, b), distinct, of the pairs that meet in the masks of one round."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = Masks(*sent.value)
         finer, last, parts = known.value
         for ids, h, size in _pieces(batches):
             sketch = parity_sketch(h, size)
-            for rows in masks.all_keys(h, size, finer):
+            for rows in masks.all_keys(h, size, finer, part):
                 large = _in(rows.key, last)
                 plain, cut_up = rows.where(~large), rows.where(large)
                 key, line, role = cells(cut_up, ids[cut_up.text], last, parts)
@@ -303,9 +390,11 @@ def candidate_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, slots: int
 def similar_pairs(reps: DataFrame, num: int = NUM, den: int = DEN, **bounds: int) -> DataFrame:
     """(a, b, shared, total) of the pairs whose exact Jaccard similarity is at least ``num``/``den``."""
     found = candidate_pairs(reps, num, den, **bounds)
-    left, right = reps.select(F.col("id").alias("a"), F.col("words").alias("wa")), reps.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    checked = found.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("wa") + F.size("wb") - shared).alias("total"))
+    text = F.array_join("words", " ")  # a string takes a fraction of the bytes of an array in a shuffle
+    left, right = (reps.select(F.col("id").alias(x), text.alias(f"w{x}")) for x in "ab")
+    wa, wb = F.split("wa", " "), F.split("wb", " ")
+    shared = F.size(F.array_intersect(wa, wb))
+    checked = found.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size(wa) + F.size(wb) - shared).alias("total"))
     return checked.where(F.col("shared") * den >= F.col("total") * num)
 
 

@@ -4,13 +4,49 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import rows
-from folioflow.llm import defects, leakage, mapping, privacy, scans
+from folioflow.llm import defects, leakage, mapping, near_duplicates, privacy, scans
 
 ENTRIES = [(1, "outperforms", "优于", ["surpass", "beat"]), (2, "evaluated_on", "评测于", ["test on", "assess on"]), (3, "achieves", "达到", ["reach", "attain"]), (4, "uses", "使用", ["employ", "use"])]
 
 
+# --- 1: near-duplicates -----------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("seed", range(12))
+def test_masks_of_three_bits_and_rounds_cover_every_pair(seed):
+    r = np.random.default_rng(seed)
+    n = [20, 21, 33, 44, 63, 64, 70, 91, 92, 150, 204, 260][seed]
+    a = r.integers(1, 2**63, n, np.uint64)
+    swap = int(0.3 * n / 1.7)  # the most that leaves seven tenths
+    b = np.concatenate([a[swap:], r.integers(1, 2**63, swap, np.uint64)])
+    h, size = np.concatenate([a, b, a[: n * 7 // 10 + 1]]), np.array([n, n, n * 7 // 10 + 1])
+    for width, least in near_duplicates.WIDTHS.items():
+        masks = near_duplicates.Masks(r.integers(0, 50, 512).astype(np.int32), width=width)
+        whole = masks.keys(h, size)
+        assert set(whole.key[(whole.text == 0) & whole.small]) & set(whole.key[whole.text == 1])
+        if size[2] >= least[0][0]:
+            assert set(whole.key[(whole.text == 2) & whole.small]) & set(whole.key[whole.text == 0])
+        for rounds in (2, 5, 3 * least[0][1]):
+            parts = [masks.keys(h, size, (k, rounds)) for k in range(rounds)]
+            assert sorted(zip(whole.key, whole.text, whole.small)) == sorted(x for p in parts for x in zip(p.key, p.text, p.small))
+
+
+def test_rounds_lose_no_pair_and_bound_what_is_shuffled(spark):
+    """Also where disk allows a few rows a round, with three bits a mask, hot buckets and counts from a part of the texts."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(70)]
+    base = [r.sample(vocabulary, 40) for _ in range(60)]
+    texts = [(k, " ".join(w[:-swap] + r.sample(vocabulary, swap))) for k, (w, swap) in enumerate((w, swap) for w in base for swap in (1, 4, 7))]
+    members, reps = near_duplicates.classes_of_equal_sets(near_duplicates.word_sets(spark.createDataFrame(texts, "chunk_id long, text string"), "chunk_id", "text"))
+    sets = {i: set(t.split()) for i, t in texts}
+    assert members.count() == len(texts)
+    expected = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    assert len(expected) > 60
+    for bounds in ({"round_bytes": 100_000}, {"width": 3, "round_bytes": 100_000, "hot": 9}, {"width": 3}):
+        assert {(min(p[:2]), max(p[:2])) for p in map(tuple, near_duplicates.similar_pairs(reps, **bounds).collect())} == expected
+
+
 # --- 3: mapping -------------------------------------------------------------------------------------------------------
 def test_token_sets_find_what_the_automaton_leaves():
     m = mapping.Mapper(ENTRIES)
