@@ -136,3 +136,57 @@ def test_sentences_and_scores(spark):
     assert [r[0] for r in near.select(evaluate.relevancy(F.col("q"), F.col("a"))).collect()] == [1.0, 0.0, 0.0, 0.0]
     keys = spark.createDataFrame([(1, "fine-tuned on 1,200 items", ["fine tuned", "1200", None, ""]), (2, None, None)], "answer_id long, answer string, answer_keys array<string>")
     assert rows(evaluate.plain_hit_ratio(keys)) == [(1, 2, 2, 1.0), (2, 0, 0, 1.0)]
+
+
+def test_search_makes_no_pairs_of_queries_and_texts(spark):
+    """Every query shares a word with every text; only what may be among the best becomes rows."""
+    from pyspark.sql import functions as F
+
+    from folioflow.operators import lexical
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("common word w"), (F.col("id") % 40).cast("string")).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.concat(F.lit("common w"), (F.col("id") % 50).cast("string")).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    vocab = lexical.vocabulary(docs)
+    each = docs.select("doc_id", "source", F.explode(F.split("text", " ")).alias("term")).join(lexical.term_weights(vocab), "term")
+    pairs = lexical.asked_terms(asked).join(each, "term").groupBy("query_id", "doc_id", "source").agg(F.round(F.sum(F.col("qf") * F.col("idf")), 6).alias("score"))
+    full = {(r["query_id"], r["doc_id"], r["rank"]) for r in lexical.ranked(pairs, 7).collect()}  # all texts have three words, so a term counts its weight
+    found = lexical.search(asked, docs, 7)
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in found.collect()} == full
+    own = lexical.ranked(pairs.join(asked.select("query_id", "source"), ["query_id", "source"]), 7)
+    within = lexical.search_within(asked, docs, 7)
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in within.collect()} == {(r["query_id"], r["doc_id"], r["rank"]) for r in own.collect()}
+    for df in (found, within):  # the plan ends in what was found: 2,100 rows, not 120,000 pairs
+        assert df.count() == 2100 and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_texts_agree_with_all_scores():
+    import numpy as np
+
+    from folioflow.functions.impact import Block
+
+    rng = np.random.default_rng(5)
+    n, terms = 600, 60
+    held = rng.random((terms, n)) < np.linspace(0.01, 0.6, terms)[:, None]
+    term, doc = np.nonzero(held)
+    impact = rng.choice([0.5, 1.0, 1.25], len(term))
+    full = np.zeros((terms, n))
+    full[term, doc] = impact
+    block = Block(term, doc, impact, terms, n)
+    queries = [(t := rng.choice(terms, size, replace=False), rng.choice([0.1, 2.0, 5.0, -0.5] if size == 7 else [0.1, 2.0, 5.0], len(t))) for size in [1, 2, 4, 6, 7, 30] * 20]
+    for q, docs, scores in block.search(queries, 5):
+        every = queries[q][1] @ full[queries[q][0]]
+        best = [d for d in np.lexsort((np.arange(n), -np.round(every, 6)))[:5] if every[d] > 1e-9]
+        assert set(best) <= set(docs.tolist()) and np.allclose(every[docs], scores)
+
+
+def test_drafts_are_written_once_and_judged_as_written(spark):
+    import itertools
+
+    from folioflow.plans import retrieve
+    from folioflow.providers import Providers
+
+    turn = itertools.count()
+    model = Providers(chat=lambda p: f"Draft {next(turn)} says that Alpha Model has 12 layers in it.")
+    hits = spark.createDataFrame([(1, "Alpha Model has 12 layers.", 1)], "query_id long, text string, rank long")
+    got = retrieve.answer(spark.createDataFrame([(1, "How many layers?")], "query_id long, text string"), hits, model).first()
+    assert got["answer"] == "Draft 0 says that Alpha Model has 12 layers in it."
