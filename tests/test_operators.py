@@ -295,3 +295,15 @@ def test_stream_drops_repeats(spark, root, tmp_path):
     ingest.append_to(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == chunks.select(files.chunk_id()).distinct().count()
     assert ingest.arrivals(ingest.chunk_stream(spark, str(tmp_path / "in"), chunks)).isStreaming
+
+
+def test_groups_of_many_texts_are_one_tasks_work(spark, monkeypatch):
+    from folioflow.operators import summary
+
+    text = lambda i: f"Model Word{i % 90} has {i * 7} layers and uses gated-attention part{i % 13} here. It was then run on Data{i % 31}, as well as others."
+    data = [("a", i, text(i)) for i in range(150)]
+    joined = " ".join(t for _, _, t in data)
+    found, words = summary._sentences(joined), summary._keywords(joined)
+    naive = " ".join(found[i] for i in sorted(summary._pick([{w for w in words if w in s.lower()} for s in found], words, 10)))
+    monkeypatch.setattr(summary, "_summarise_large", None)  # a group of some hundred texts needs no rows of sentences
+    assert dict(rows(summary.summarise_groups(spark.createDataFrame(data, "k string, ord int, text string"), ["k"], 10))) == {"a": naive}
